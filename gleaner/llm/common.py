@@ -116,10 +116,16 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def without_text(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    return df.select(key)
 
 
 def remainder(column: str, modulus: int):
     """crc32(id as text) mod modulus."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, whatever columns it brings along."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

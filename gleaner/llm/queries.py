@@ -4,16 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm import linedup
 from gleaner.llm.common import table
 from gleaner.llm.packing import pack
+from gleaner.llm.spans import dedup_spans
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_pack": op4_pack,
+    "op8_span_dedup": op8_span_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": linedup.oracle(),
+}
