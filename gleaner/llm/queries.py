@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import linedup
 from gleaner.llm.common import table
+from gleaner.llm.htmlmain import extract_main
 from gleaner.llm.packing import pack
 from gleaner.llm.spans import dedup_spans
 
@@ -18,6 +19,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(table(spark, sf_dir, "pages"))
+
+
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_pack": op4_pack,
+    "op7_html_main_text": op7_html_main_text,
     "op8_span_dedup": op8_span_dedup,
 }
 
