@@ -9,6 +9,7 @@ from gleaner.llm.common import table
 from gleaner.llm.htmlmain import extract_main
 from gleaner.llm.packing import pack
 from gleaner.llm.spans import dedup_spans
+from gleaner.llm.toxicity import toxicity
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main(table(spark, sf_dir, "pages"))
 
@@ -30,6 +35,7 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_pack": op4_pack,
+    "op6_toxicity": op6_toxicity,
     "op7_html_main_text": op7_html_main_text,
     "op8_span_dedup": op8_span_dedup,
 }
