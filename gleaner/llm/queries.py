@@ -8,6 +8,7 @@ from gleaner.llm import linedup
 from gleaner.llm.common import table
 from gleaner.llm.htmlmain import extract_main
 from gleaner.llm.packing import pack
+from gleaner.llm.quality import quality
 from gleaner.llm.spans import dedup_spans
 from gleaner.llm.toxicity import toxicity
 
@@ -32,12 +33,17 @@ def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_pack": op4_pack,
     "op6_toxicity": op6_toxicity,
     "op7_html_main_text": op7_html_main_text,
     "op8_span_dedup": op8_span_dedup,
+    "op9_quality": op9_quality,
 }
 
 ORACLE: dict[str, str] = {
