@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from gleaner.llm import linedup
 from gleaner.llm.common import table
 from gleaner.llm.htmlmain import extract_main
+from gleaner.llm.langid import identify
 from gleaner.llm.packing import pack
 from gleaner.llm.quality import quality
 from gleaner.llm.spans import dedup_spans
 from gleaner.llm.toxicity import toxicity
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -38,6 +43,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_line_dedup": op3_line_dedup,
     "op4_pack": op4_pack,
     "op6_toxicity": op6_toxicity,
