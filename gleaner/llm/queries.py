@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gleaner.llm import linedup
 from gleaner.llm.common import table
 from gleaner.llm.htmlmain import extract_main
+from gleaner.llm.jaccard import similarity_components
 from gleaner.llm.langid import identify
 from gleaner.llm.packing import pack
 from gleaner.llm.quality import quality
@@ -42,6 +43,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_line_dedup": op3_line_dedup,
@@ -50,6 +55,7 @@ QUERIES = {
     "op7_html_main_text": op7_html_main_text,
     "op8_span_dedup": op8_span_dedup,
     "op9_quality": op9_quality,
+    "op10_shingle_jaccard_join": op10_shingle_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
