@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleaner.llm import linedup
+from gleaner.llm import bm25, linedup
 from gleaner.llm.common import table
+from gleaner.llm.decontam import leaks
 from gleaner.llm.htmlmain import extract_main
 from gleaner.llm.jaccard import similarity_components
 from gleaner.llm.langid import identify
@@ -19,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source")
 
@@ -27,6 +32,11 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,8 +59,10 @@ def op10_shingle_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_line_dedup": op3_line_dedup,
     "op4_pack": op4_pack,
+    "op5_bm25_topk": op5_bm25_topk,
     "op6_toxicity": op6_toxicity,
     "op7_html_main_text": op7_html_main_text,
     "op8_span_dedup": op8_span_dedup,
