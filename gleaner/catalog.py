@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.queries import corpus, evaluation, retrieval
+
+FLAGSHIP = "hybrid_retrieval"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "hybrid_retrieval"
+for _part in (corpus, retrieval, evaluation):
+    QUERIES |= {name: q.run for name, q in _part.ALL.items()}
+    ORACLE |= {name: q.sql for name, q in _part.ALL.items() if q.sql}

@@ -1 +1 @@
-
+"""Plans over whole corpora: snapshots, profiles, the engine."""

@@ -1 +1 @@
-
+"""Readers: mirrored files, JSON lines, evaluation sets, profiles."""

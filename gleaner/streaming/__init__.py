@@ -1 +1 @@
-
+"""Structured Streaming extensions: incremental ingest, request windows, sessions."""
