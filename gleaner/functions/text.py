@@ -15,7 +15,7 @@ TERM = r"[\p{L}\p{N}\p{Co}]+"
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 #: White space that str.strip() takes and the engine's own trim does not.
-_EDGE = r"^[\s\u0085   -     　\x1c-\x1f]+|[\s\u0085   -     　\x1c-\x1f]+$"
+_EDGE = r"^[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
 
 
 def column(x) -> Column:
@@ -48,7 +48,7 @@ def stable_id(kind: str, *parts) -> Column:
 
 def normalized_text(x) -> Column:
     """No control characters but \\n and \\t, no-break spaces as spaces, runs of blanks as one, at most one blank line, stripped."""
-    clean = F.regexp_replace(F.regexp_replace(column(x), r"[\x00-\x08\x0b-\x1f\x7f]", ""), " ", " ")
+    clean = F.regexp_replace(F.regexp_replace(column(x), r"[\x00-\x08\x0b-\x1f\x7f]", ""), "\u00a0", " ")
     return strip(F.regexp_replace(F.regexp_replace(clean, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 

@@ -45,7 +45,7 @@ def markdown_text(x) -> Column:
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
-_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 
 
 def _sections_at_headings(md: str) -> list[dict]:
@@ -265,7 +265,7 @@ def high_link_density(n_links, link_chars, text_chars) -> Column:
 
 def deduped_lines(df: DataFrame, key: str, text: str, times: int = 3, most_chars: int = 80) -> DataFrame:
     """``key`` and the text without its blank lines, its short lines that occur ``times`` or more, and menu switches."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]")).alias("pos", "raw")).select(key, "pos", strip("raw").alias("line")).where("line <> ''").withColumn("norm", collapsed("line"))
+    lines = df.select(key, F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]")).alias("pos", "raw")).select(key, "pos", strip("raw").alias("line")).where("line <> ''").withColumn("norm", collapsed("line"))
     times_here = F.count(F.lit(1)).over(Window.partitionBy(key, "norm"))
     kept = lines.withColumn("n", times_here).where(~((F.col("n") >= times) & (F.length("norm") <= most_chars)) & ~F.col("norm").isin("show menu", "hide menu"))
     joined = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias(text), F.count(F.lit(1)).alias("n_lines"))

@@ -101,7 +101,7 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], stats:
         raise ValueError(f"constraints broken: {[tuple(r) for r in bad]}")
     body = {"app_schema_version": SCHEMA_VERSION, "tables": {n: sorted(df.dtypes) for n, df in written.items()}, "files": _listing(spark, stage), "stats": stats or {}}
     digest = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
-    _write_text(spark, f"{stage}/_manifest.json", json.dumps(body | {"digest": digest}, sort_keys=True))
+    _write_text(spark, f"{stage}/manifest.json", json.dumps(body | {"digest": digest}, sort_keys=True))
     final = f"{root}/snapshot-{digest[:24]}"
     if not fs.rename(staged, _files(spark, final)[1]):
         raise OSError(f"{final} is there already")
@@ -110,7 +110,7 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], stats:
 
 def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
     """Open read-only; another schema version, another digest or changed files are refused."""
-    text = spark.read.option("wholetext", True).text(f"{path}/_manifest.json").first().value
+    text = spark.read.text(f"{path}/manifest.json", wholetext=True).first().value
     manifest = json.loads(text)
     body = {k: v for k, v in manifest.items() if k != "digest"}
     if body.get("app_schema_version") != SCHEMA_VERSION:

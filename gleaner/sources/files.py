@@ -146,6 +146,6 @@ def read_eval_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Evaluation rows from JSON lines, a JSON array, or an object with ``cases``, ``results`` or ``items``."""
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path, schema)
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = F.coalesce(*[F.from_json(F.get_json_object("value", p), f"array<struct<{schema}>>") for p in ("$.cases", "$.results", "$.items")], F.from_json("value", f"array<struct<{schema}>>"))
     return text.select(F.inline(rows))
