@@ -11,7 +11,9 @@ which are not joined. A document goes into its own band, and also into the next
 when a partner 1.25 times its size can be there.
 
 Exact copies are one class and take part once a task. Equal parts are joined by
-hash. Parts shared by more than ``CROWD`` classes are *crowded*: there all are
+hash and counted by pair: by the bound above, a linked pair has so and so many
+equal parts, and pairs with fewer are dropped before any text is fetched.
+Parts shared by more than ``CROWD`` classes are *crowded*: there all are
 compared with the smallest class only. A class with few enough crowded
 parts must share a calm part with each partner, so nothing is lost; for the
 others (mostly made of crowded shingles) a finer sketch, one part or less a
@@ -115,11 +117,11 @@ def scan(batches):
 
 
 def keys_of(batches, fineness: float):
-    """(key, fp) of the sketch parts; a task gives each class once, as far as it remembers."""
+    """(key, fp, need) of the sketch parts, with how many are equal at least in a linked pair; a task gives each class once, as far as it remembers."""
     seen: set[int] = set()
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column("text")):
-            keys, fps = [], []
+            keys, fps, needs = [], [], []
             for s in shingle_sets(data, offsets):
                 fp = fingerprint(s)
                 if not fp or fp in seen:
@@ -128,11 +130,12 @@ def keys_of(batches, fineness: float):
                     seen.clear()
                 seen.add(fp)
                 for band in bands(len(s)):
-                    k = sketch(s, band, fineness)[0]
+                    k, spare = sketch(s, band, fineness)
                     keys.append(k)
                     fps.append(np.full(len(k), fp, np.int64))
+                    needs.append(np.full(len(k), spare, np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps))], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(needs))], names=["key", "fp", "need"])
 
 
 def spare_of(batches, fineness: float):
@@ -151,26 +154,31 @@ def spare_of(batches, fineness: float):
 
 
 def meetings(batches, crowd: int):
-    """From (key, fp) sorted: pairs of classes that share a key; (a, b, key, crowded).
+    """From (key, fp, need) sorted: pairs of classes that share a key, (a, b, need, crowded key or null).
 
-    Up to ``crowd`` classes meet pairwise. A crowded key pairs each class with
-    the smallest and says so, in one row a class (the smallest with itself);
-    rows are given as they come, no group is held beyond ``crowd`` classes.
+    Up to ``crowd`` classes meet pairwise. A crowded key pairs each class with the
+    smallest, in one row a class (the smallest with itself). Rows are given as
+    they come, no group is held beyond ``crowd`` classes.
     """
     key_now, members, crowded, last = None, [], False, None
     out: list[tuple] = []
 
+    def pair(a, b, key=None):
+        out.append((a[0], b[0], max(a[1], b[1]), key))
+
     def close():
-        if key_now is not None and not crowded:
-            out.extend((members[i], members[j], key_now, False) for j in range(len(members)) for i in range(j))
+        if not crowded:
+            for j in range(len(members)):
+                for i in range(j):
+                    pair(members[i], members[j])
 
     def give():
         cols = list(zip(*out)) if out else [[], [], [], []]
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())], names=["a", "b", "key", "crowded"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["a", "b", "need", "key"])
 
     for batch in batches:
-        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
+        key, fp, need = (batch.column(c).to_numpy() for c in ("key", "fp", "need"))
         if not len(key):
             continue
         # Keys of a single class, which nearly all are, are passed over at once.
@@ -179,7 +187,7 @@ def meetings(batches, crowd: int):
         shared = same[:-1] | same[1:]
         shared[-1] = True
         shared[0] = True
-        for k, f in zip(key[shared].tolist(), fp[shared].tolist()):
+        for k, f, n in zip(key[shared].tolist(), fp[shared].tolist(), need[shared].tolist()):
             if k != key_now:
                 close()
                 key_now, members, crowded, last = k, [], False, None
@@ -187,12 +195,13 @@ def meetings(batches, crowd: int):
                 continue
             last = f
             if crowded:
-                out.append((members[0], f, k, True))
+                pair(members[0], (f, n), k)
             else:
-                members.append(f)
+                members.append((f, n))
                 if len(members) > crowd:
                     crowded = True
-                    out.extend((members[0], m, k, True) for m in members)
+                    for m in members:
+                        pair(members[0], m, k)
                     members = members[:1]
         yield give()
     close()
@@ -222,8 +231,18 @@ def one_set(text: str) -> np.ndarray:
 
 
 def meet(docs: DataFrame, fineness: float, crowd: int, name: str) -> DataFrame:
-    keys = docs.select("text").mapInArrow(lambda it: keys_of(it, fineness), "key long, fp long")
-    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: meetings(it, crowd), "a long, b long, key long, crowded boolean"), name)
+    keys = docs.select("text").mapInArrow(lambda it: keys_of(it, fineness), "key long, fp long, need int")
+    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: meetings(it, crowd), "a long, b long, need int, key long"), name)
+
+
+def plausible(met: DataFrame) -> DataFrame:
+    """Pairs with enough equal parts: as many as a linked pair has, less those that may be hidden in crowded parts."""
+    crowds = materialize(met.where("key is not null").groupBy(F.col("b").alias("fp")).agg(F.count(F.lit(1)).alias("c")), "crowds")
+    pairs = met.where("a != b").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n"))
+    for side in "ab":
+        pairs = pairs.join(crowds.select(F.col("fp").alias(side), F.col("c").alias(f"c_{side}")), side, "left")
+    hidden = F.least(F.coalesce("c_a", F.lit(0)), F.coalesce("c_b", F.lit(0)))
+    return pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("need") - hidden)).select("a", "b")
 
 
 def texts_of(fps: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -258,11 +277,11 @@ def components(links: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """fp, label of all classes that have links. ``docs``: row, text; ``classes``: fp and the row of a document."""
     met = meet(docs, FINENESS[0], crowd, "meetings")
-    links = verify(met, docs, classes)
+    links = verify(plausible(met), docs, classes)
     subset = docs
     for level, finer in zip(FINENESS, (*FINENESS[1:], None)):
         labels = components(links)
-        crowded = met.where("crowded").select("key", F.col("b").alias("fp"))
+        crowded = met.where("key is not null").select("key", F.col("b").alias("fp"))
         # Crowded keys whose classes are not all connected yet.
         tagged = crowded.join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
         open_keys = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
@@ -279,7 +298,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, crowd: int = CROWD) -> Dat
         if finer is not None:
             subset = materialize(suspects.join(doubtful, "fp", "left_semi").join(classes.select("fp", "row"), "fp").select("row", "text"), "doubtful-texts")
             met = meet(subset, finer, crowd, "finer-meetings")
-            more = verify(met, subset, classes)
+            more = verify(plausible(met), subset, classes)
         else:
             rest = tagged.join(doubtful, "fp", "left_semi").withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int"))
             other = rest.select("key", F.col("fp").alias("b"), F.col("label").alias("b_label"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
