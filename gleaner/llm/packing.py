@@ -22,7 +22,6 @@ source is the queue ``''``; repeated rows are packed as often as they stand.
 from __future__ import annotations
 
 import zlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +57,6 @@ class ByteBpe:
         self.whole = Tokenizer.from_file(path)
         model = self._ranks(path)
         self.enc = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=model, special_tokens={})
-        self.known: OrderedDict[int, int] = OrderedDict()
         self.reset()
 
     @staticmethod
@@ -277,7 +275,7 @@ def pieces_of(batches, window: int, min_piece: int):
                 offset = 0
                 for d, start, n in seq:
                     a = int(at[d]) + start
-                    for c, v in zip(cols, (row["doc_ids"][d], start, n, zlib.crc32(ids[a : a + n]), int(lens[d]), row["part"] << 40 | row["lane"] << 16 | k, offset, row["names"][queues[d]])):
+                    for c, v in zip(cols, (row["doc_ids"][d], start, n, zlib.crc32(ids[a : a + n]), int(lens[d]), row["part"] << 44 | row["lane"] << 24 | k, offset, row["names"][queues[d]])):
                         c.append(v)
                     offset += n
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PIECE_SCHEMA)], schema=PIECE_SCHEMA)
@@ -287,7 +285,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     """Pieces of all documents (``doc_id``, ``text``, ``source``) in sequences of at most ``window`` tokens.
 
     A lane holds up to ``lane_tokens`` ids and one document more; sequence ids
-    leave 16 bits for the sequences of a lane.
+    leave 24 bits for the sequences of a lane, 20 for the lanes of a task.
     """
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.monotonically_increasing_id().alias("_row")).repartition(F.xxhash64("_row")).drop("_row")
     lanes = materialize(dealt.mapInArrow(lambda it: lanes_of(it, tokenizer_path, lane_tokens), LANES), "lanes")
