@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gleaner.functions.text import l2_norm, terms
+from gleaner.session import stored
 
 # The fields of the index with their default weights.
 FIELD_WEIGHTS = {"content": 1.0, "title": 5.0, "heading": 3.0, "url": 2.5}
@@ -42,8 +43,11 @@ def build_postings(chunks: DataFrame, fields: dict[str, str]) -> tuple[DataFrame
     return postings, lengths
 
 
-def text_index(chunks: DataFrame, fields: dict[str, str]) -> TextIndex:
+def text_index(chunks: DataFrame, fields: dict[str, str], keep: bool = False) -> TextIndex:
+    """The index of ``chunks``; ``keep`` writes postings and lengths first, since every search reads them more than once."""
     postings, lengths = build_postings(chunks, fields)
+    if keep:
+        postings, lengths = stored(postings, "postings"), stored(lengths, "lengths")
     stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
     return TextIndex(postings, lengths, stats, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), tuple(fields))
 

@@ -11,6 +11,7 @@ from gleaner.functions.text import stable_id
 from gleaner.operators import chunking, filters, identity, retrieve
 from gleaner.operators.index import TextIndex, text_index
 from gleaner.plans.profiles import Profile
+from gleaner.session import stored
 
 
 def build_corpus(files: DataFrame, corpus_id: str, profile: Profile) -> dict[str, DataFrame]:
@@ -55,8 +56,11 @@ class Retriever:
         if set(self.lanes) & {"dense", "sparse"} or len(self.lanes) > 14:
             raise ValueError("extra lanes need names of their own, at most 14")
 
-    def stages(self, queries: DataFrame, k: int = 8, proposed: Mapping | None = None) -> dict[str, DataFrame]:
-        """Ranked rows of every stage; ``queries``: query_id, query, and embedding for the dense lane, allowed (optional)."""
+    def stages(self, queries: DataFrame, k: int = 8, proposed: Mapping | None = None, keep: bool = False) -> dict[str, DataFrame]:
+        """Ranked rows of every stage; ``queries``: query_id, query, and embedding for the dense lane, allowed (optional).
+
+        ``keep`` writes the lanes and the reranked rows, a few rows a query, so that reading several stages searches once.
+        """
         if isinstance(k, bool) or not 1 <= k <= 100:
             raise ValueError("k must be 1 to 100")
         p = self.profile.retrieval
@@ -70,6 +74,8 @@ class Retriever:
             out["dense"] = retrieve.dense_lane(queries, vectors, p.dense_k)
         for name, lane in self.lanes.items():
             out[name] = lane(queries, p.sparse_k).join(visible.select("chunk_id"), "chunk_id", "left_semi")
+        if keep:
+            out = {name: stored(df, f"lane-{name}") for name, df in out.items()}
         weights = {"dense": p.dense_weight, "sparse": p.sparse_weight, **self.lane_weights}
         fused = retrieve.rrf(out, weights, p.rrf_k)
         out["fused"] = fused
@@ -79,6 +85,7 @@ class Retriever:
         content = visible.select("chunk_id", "document_id", "text")
         if p.reranker == "token_overlap":
             top = retrieve.token_overlap(top.select("query_id", "chunk_id").join(content, "chunk_id").join(queries.select("query_id", "query"), "query_id")).select("query_id", "chunk_id", "score", "rank")
+        top = stored(top, "reranked") if keep else top
         out["reranked"] = top
         if p.mmr == "lexical":
             top = retrieve.mmr(top.join(content.select("chunk_id", "text"), "chunk_id"), min(k, p.final_k), p.mmr_lambda)
@@ -109,4 +116,4 @@ def document_chunks(documents: DataFrame, size: int = 1000, overlap: int = 100)
 
 
 def chunk_index(chunks: DataFrame) -> TextIndex:
-    return text_index(chunks, {"content": "text", "title": "title"})
+    return text_index(chunks, {"content": "text", "title": "title"}, keep=True)

@@ -9,6 +9,7 @@ from gleaner.operators import index, retrieve
 from gleaner.plans.engine import Retriever, chunk_index, document_chunks, stage_table
 from gleaner.plans.profiles import Profile, Retrieval
 from gleaner.queries import Queries, table
+from gleaner.session import stored
 
 ALL = Queries()
 
@@ -121,7 +122,7 @@ TITLE_LANE = bm25_sql(1.0, 5.0) + ", a AS (" + top("scores", 20) + ")"
 def two_lanes(spark: SparkSession, sf: str):
     chunks, ix = index_of(spark, sf)
     q = queries_of(spark, sf)
-    sparse = retrieve.sparse_lane(q, ix, limit=20)
+    sparse = stored(retrieve.sparse_lane(q, ix, limit=20), "sparse-lane")
     overlap = retrieve.token_overlap(sparse.select("query_id", "chunk_id").join(chunks.select("chunk_id", "text"), "chunk_id").join(q, "query_id"))
     return chunks, q, sparse, overlap.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
@@ -178,7 +179,7 @@ def flagship(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     chunks, ix = index_of(spark, sf)
     plain = lambda q, n: retrieve.sparse_lane(q, ix, limit=n, weights={"content": 1.0, "title": 0.0})
     engine = Retriever(chunks, ix, PROFILE, lanes={"plain": plain})
-    return engine.stages(queries_of(spark, sf))
+    return engine.stages(queries_of(spark, sf), keep=True)
 
 
 HYBRID = (

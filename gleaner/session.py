@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_own_dirs: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -16,3 +19,15 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     return spark
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the folder of spark.checkpoint.dir (a temporary one where that is unset) and read back.
+
+    For tables that several branches of a plan read: computed once, and kept when executors are lost.
+    """
+    spark = df.sparkSession
+    where = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gleaner-"))
+    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
