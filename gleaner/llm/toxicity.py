@@ -16,6 +16,7 @@ With fewer than ``LEAST`` labelled rows of either kind all scores are the base r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -121,22 +122,27 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
 
 
 def learn_lexicon(table: pa.Table, y: np.ndarray, least: int = 4, odds: float = 2.0, most: int = 2000) -> Lexicon:
-    found: list[np.ndarray] = []
-    label: list[np.ndarray] = []
-    at = 0
-    for batch in table.combine_chunks().to_batches():
-        for lo, hi, data, offsets in slices(batch.column("text")):
-            letters, starts, ends, words, _ = plain_words(data, offsets)
-            row = np.repeat(np.arange(at + lo, at + hi), np.diff(words)).astype(np.uint64)
-            for keys in word_keys(letters, starts, ends):
+    # One kind of key at a time, which bounds what the driver holds.
+    kinds = []
+    for kind in range(1 + len(PREFIXES)):
+        found, label, at = [], [], 0
+        for batch in table.combine_chunks().to_batches():
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                letters, starts, ends, words, _ = plain_words(data, offsets)
+                row = np.repeat(np.arange(at + lo, at + hi), np.diff(words)).astype(np.uint64)
+                keys = next(islice(word_keys(letters, starts, ends), kind, None))
                 ok = keys > 0
                 pairs = np.unique(np.stack([keys[ok], row[ok]]), axis=1)
                 found.append(pairs[0])
-                label.append(y[pairs[1].astype(np.int64)])
-        at += batch.num_rows
-    keys, labels = np.concatenate(found), np.concatenate(label)
-    uniq, back = np.unique(keys, return_inverse=True)
-    pos, all_ = np.bincount(back, labels), np.bincount(back)
+                label.append(y[pairs[1].astype(np.int64)] > 0)
+            at += batch.num_rows
+        uniq, back = np.unique(np.concatenate(found), return_inverse=True)
+        pos, every = np.bincount(back, np.concatenate(label)), np.bincount(back)
+        often = pos >= least
+        kinds.append((uniq[often], pos[often], every[often]))
+    uniq, pos, all_ = (np.concatenate(x) for x in zip(*kinds))
+    order = np.argsort(uniq, kind="stable")
+    uniq, pos, all_ = uniq[order], pos[order], all_[order]
     p, n = y.sum(), len(y) - y.sum()
     score = np.log((pos + 0.5) / (p + 1)) - np.log((all_ - pos + 0.5) / (n + 1))
     ok = np.flatnonzero((pos >= least) & (score >= odds))
