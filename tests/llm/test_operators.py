@@ -219,6 +219,27 @@ def test_span_dedup_finds_a_pasted_passage(spark):
     assert out[0].n_removed == 0
 
 
+@pytest.mark.parametrize("size", [50, 61, 200])
+def test_span_dedup_does_not_depend_on_the_words_before(spark, size):
+    """Lower-case passages without stops, pasted at every word offset, go but for their ends."""
+    own = np.random.default_rng(size)
+    word = lambda n: ["w" + "".join(own.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    passage = word(size)
+    rows = [(k, " ".join(word(20 + k) + passage + word(30))) for k in range(23)]
+    out = sorted(spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out[0].text == rows[0][1] and out[0].n_removed == 0
+    for r, (k, text) in zip(out[1:], rows[1:]):
+        left = set(r.text.split())
+        assert len(left & set(passage)) <= 2 * spans.MAX_WORDS + spans.MIN_WORDS
+        assert left >= set(text.split()) - set(passage)
+
+
+def test_content_cuts_leave_no_long_sentence():
+    data = np.frombuffer(" ".join(str(x) for x in rng.integers(0, 50, 5000)).encode(), np.uint8)
+    starts, _, begins, _ = spans.sentences(data, np.array([0, len(data)]))
+    assert np.diff(np.append(begins, len(starts))).max() <= spans.MAX_WORDS
+
+
 def test_bm25_matches_full_scoring(docs, rows, none, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_BYTES", 20_000)
     monkeypatch.setattr(bm25, "BLOCK", 4)
