@@ -283,6 +283,18 @@ def test_decontamination(spark, docs, none):
     assert decontam.leaks(none, bench).count() == 0 and decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_where_later_words_are_nearer(spark):
+    """An exact item is found although what follows repeats its words in other orders and is nearer to it."""
+    own = np.random.default_rng(8)
+    item = [f"item{k}" for k in range(36)]
+    noise = lambda n: [f"noise{k}" for k in own.integers(0, 400, n)]
+    rows = [(k, " ".join(noise(40 + k) + item + [w for _ in range(4) for w in own.permutation(item)] + noise(30))) for k in range(32)]
+    rows += [(100 + k, " ".join(noise(150))) for k in range(60)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(noise(30)))], "item_id long, text string")
+    found = {r.doc_id: r.lcs for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).where("item_id = 1").collect()}
+    assert found == {k: 1.0 for k in range(32)}
+
+
 def test_common_length():
     a, b = np.array([1, 2, 3, 4, 5, 6]), np.array([9, 2, 4, 9, 3, 5, 6, 1])
     assert decontam.common_length(a, b) == 4
