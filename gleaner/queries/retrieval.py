@@ -216,6 +216,13 @@ def mmr_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return retrieve.mmr(a.join(chunks.select("chunk_id", "text"), "chunk_id"), 2).select("query_id", "chunk_id", "rank")
 
 
+@ALL.add(None)
+def mmr_lexical_final(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows-only: all choices of the profile's ``final_k``; tested against a plain loop."""
+    chunks, _, a, _ = two_lanes(spark, sf)
+    return retrieve.mmr(a.join(chunks.select("chunk_id", "text"), "chunk_id"), PROFILE.retrieval.final_k).select("query_id", "chunk_id", "rank")
+
+
 @ALL.add(None)
 def mmr_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Rows-only: greedy selection over dense candidates; tested against a plain loop."""

@@ -1,10 +1,12 @@
 import math
+import random
 import sqlite3
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from gleaner import catalog
 from gleaner.operators import answer, chunking, evaluate, extract, filters, identity, index, retrieve
 
 
@@ -201,3 +203,32 @@ def test_answer_events():
     events = list(answer.answer_events("q", [{"chunk_id": "c"}], "ctx", model(["It is ", "[C1]"])))
     assert [e["type"] for e in events] == ["status", "sources", "token", "token", "done"]
     assert list(answer.answer_events("q", [], "", model(["[C1]"])))[-1]["type"] == "error"
+
+
+def greedy(rows, k, lam, similar):
+    """(score, feature) by chunk; the chunks in order of choice."""
+    top = max(abs(s) for s, _ in rows.values())
+    out = []
+    while len(out) < min(k, len(rows)):
+        value = {c: lam * s / top - (1 - lam) * max((similar(x, rows[o][1]) for o in out), default=0) for c, (s, x) in rows.items() if c not in out}
+        out.append(min(value, key=lambda c: (-value[c], c)))
+    return out
+
+
+@pytest.mark.parametrize("k", [8, 12, 40])
+def test_mmr_against_a_plain_loop(spark, k):
+    own = random.Random(k)
+    rows = [(q, f"c{i:02}", " ".join(own.choices("ant bee cat dog elk fox gnu hen".split(), k=4)), own.random(), [own.gauss(0, 1) for _ in range(3)]) for q in range(3) for i in range(25)]
+    df = spark.createDataFrame(rows, "query_id int, chunk_id string, text string, score double, embedding array<double>")
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    cosine = lambda a, b: math.sumprod(a, b) / (math.hypot(*a) * math.hypot(*b))
+    for mode in ("lexical", "embedding"):
+        got = retrieve.mmr(df, k, 0.5, mode).orderBy("query_id", "rank").collect()
+        for q in range(3):
+            mine = {c: (s, set(t.split()) if mode == "lexical" else e) for p, c, t, s, e in rows if p == q}
+            assert [r.chunk_id for r in got if r.query_id == q] == greedy(mine, k, 0.5, jaccard if mode == "lexical" else cosine)
+
+
+def test_mmr_lexical_is_registered_with_all_choices(spark):
+    got = catalog.QUERIES["mmr_lexical_final"](spark, "/root/testdata/sf0.001").collect()
+    assert max(r["rank"] for r in got) == 8
