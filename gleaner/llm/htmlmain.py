@@ -6,8 +6,9 @@ adverts, forms, scripts, comments and the like count for nothing. A container
 scores by its share of the page's text, less its links, and the deepest of
 equals wins. The scores are votes for the container's generalised path (tags and
 classes, digits levelled) and are summed by host, map side first. Then every
-page is read again and its text taken from the elements at its host's winning
-path, else from those at the runners-up, else from the page's own best container.
+page is read again and its text taken from the elements at the first of its
+host's best paths that holds most of the page's text, else at the first that
+holds any, else from the page's own best container.
 
 Blocks keep page order, one line each, white space inside levelled to one
 space. Null or empty html gives an empty text; a page of an unknown host (null
@@ -34,6 +35,8 @@ NEGATIVE_TAGS = "nav footer aside form dialog menu button head"
 NEGATIVE_WORDS = "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion comment comments commentlist reply replies respond disqus discussion sidebar side aside nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs footer foot masthead topbar toolbar notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget widgets pagination pager form search hidden copyright legal disclaimer"
 TOP = 3
 SHARE = 0.5
+#: Votes of a whole page: fine enough that one character tells two containers apart.
+VOTE = 1_000_000_000
 #: Beside these, a word above names a layout, not furniture.
 LAYOUT_WORDS = "has with no without layout wrapper page"
 
@@ -164,7 +167,7 @@ def read(html: str) -> tuple[list[tuple[str, int]], list[tuple[int, str, int]]]:
 
 
 def scores(containers, blocks) -> list[float]:
-    """By container: its share of the text, less links, a little more for depth."""
+    """By container: its share of the text, less links."""
     good, links = [0] * len(containers), [0] * len(containers)
     for at, text, linked in blocks:
         good[at] += len(text)
@@ -173,7 +176,7 @@ def scores(containers, blocks) -> list[float]:
         good[containers[k][1]] += good[k]
         links[containers[k][1]] += links[k]
     total = max(1, good[0] - links[0])
-    return [(g - n) / total - 0.3 * (n / g if g else 0) + 0.01 * min(c[0].count(">"), 20) for c, g, n in zip(containers, good, links)]
+    return [(g - n) / total - 0.3 * (n / g if g else 0) for g, n in zip(good, links)]
 
 
 def host_of(url):
@@ -194,7 +197,7 @@ def votes_of(batches):
                     best[path] = max(score, best.get(path, 0))
                 for path, score in best.items():
                     if score >= SHARE:
-                        votes[host, path] += round(1000 * score)
+                        votes[host, path] += round(VOTE * score)
         if len(votes) > 100_000:
             yield give(votes)
             votes.clear()
@@ -211,15 +214,20 @@ def main_text(html: str, paths: list[str]) -> str:
         return ""
     chosen: set[int] = set()
     known = {c[0] for c in containers}
+    size = [len(text) - min(linked, len(text)) for _, text, linked in blocks]
     for path in paths:
         if path in known:
-            chosen = {k for k, c in enumerate(containers) if c[0] == path}
-            if any(inside(containers, at, chosen) for at, _, _ in blocks):
+            here = {k for k, c in enumerate(containers) if c[0] == path}
+            held = [inside(containers, at, here) for at, _, _ in blocks]
+            if sum(n for n, h in zip(size, held) if h) > SHARE * sum(size):
+                chosen = here
                 break
-            chosen = set()
+            if any(held) and not chosen:
+                chosen = here
     if not chosen:
         found = scores(containers, blocks)
-        chosen = {max(range(len(found)), key=lambda k: (found[k], -k))}
+        # With no path of the host to go by, a little more for depth.
+        chosen = {max(range(len(found)), key=lambda k: (found[k] + 0.01 * min(containers[k][0].count(">"), 20), -k))}
     within = [inside(containers, k, chosen) for k in range(len(containers))]
     return "\n".join(text for at, text, _ in blocks if within[at])
 
@@ -241,7 +249,7 @@ def texts_of(batches):
 def winning_paths(pages: DataFrame) -> DataFrame:
     """host, paths: the host's ``TOP`` paths, most votes first."""
     votes = pages.select(host_of("url").alias("host"), "html").mapInArrow(votes_of, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc(F.size(F.split("path", ">"))), "path"))
     top = votes.withColumn("rank", rank).where(F.col("rank") <= TOP)
     return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
 

@@ -372,3 +372,18 @@ def test_host_path_wins_over_a_page_of_its_own():
     page = "<body><div class=story><p>short</p></div><div class=other><p>" + "long " * 400 + "</p></div></body>"
     assert htmlmain.main_text(page, ["body>div.story"]) == "short"
     assert htmlmain.main_text(page, ["body>div.missing"]).startswith("long long")
+
+
+def test_html_title_and_lead_stay_on_long_pages(spark):
+    """Depth settles only exact ties of text share."""
+    page = lambda k, n: f"<body><nav>menu</nav><article><h1>Head {k}</h1><p class=lead>Lead of it</p><div class=content><p>{'long text ' * n}</p></div></article></body>"
+    rows = [(k, f"http://h.example/{k}", page(k, 5000 if k else 30)) for k in range(6)]
+    out = {r.page_id: r.text for r in htmlmain.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k].startswith(f"Head {k}\nLead of it\nlong text") for k in range(6))
+    assert htmlmain.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).first().paths[0] == "body>article"
+
+
+def test_page_of_a_mixed_host_takes_the_path_with_most_of_its_text():
+    page = "<body><div class=story><p>short</p></div><div class=other><p>" + "long " * 400 + "</p></div></body>"
+    assert htmlmain.main_text(page, ["body>div.story", "body>div.other"]).startswith("long long")
+    assert htmlmain.main_text(page, ["body>div.story", "body"]).startswith("short\nlong")
