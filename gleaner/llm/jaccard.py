@@ -11,21 +11,27 @@ which are not joined. A document goes into its own band, and also into the next
 when a partner 1.25 times its size can be there.
 
 Exact copies are one class and take part once a task. Equal parts are joined by
-hash and counted by pair: by the bound above, a linked pair has so and so many
-equal parts, and pairs with fewer are dropped before any text is fetched.
+hash and counted by pair and band: by the bound above, a linked pair has so and
+so many equal parts, and pairs with fewer are dropped before any text is fetched.
 Parts shared by more than ``CROWD`` classes are *crowded*: there all are
-compared with the smallest class only. A class with few enough crowded
-parts must share a calm part with each partner, so nothing is lost; for the
-others (mostly made of crowded shingles) a finer sketch, one part or less a
-shingle, is joined among them alone, and what still meets only in crowded parts
-without being connected is compared pair by pair, in blocks.
+compared with the smallest class only. The rows of the meeting tell how many
+crowded parts a class has in a band; with fewer than a linked pair shares, it
+must share a calm part with each partner, so nothing is lost. Nor is anything lost
+in a crowded part whose classes are all connected already. What is left (classes
+mostly made of crowded, unconnected parts) is joined again by a finer sketch, and
+what that leaves is compared, by its rarest parts, with a share of each part's
+classes that grows from round to round until all are connected or have met.
 Candidates are verified on whole texts; links are exact up to 64-bit collisions.
 Connected components come from min-label propagation with pointer jumping over
 the links, each round written to the shared folder.
 
 Null texts and texts without words have no shingles and no links; a text with
-fewer than five words is one shingle of all its words. Repeated rows of a
-doc_id whose texts differ are separate rows; a null doc_id is a row without id.
+fewer than five words is one shingle of all its words. Repeated rows give equal
+results as often as they stand; rows of one doc_id whose texts differ are
+separate rows; a null doc_id is a row without id, and null is the component of
+a group without any id. Order and ties decide nothing but the kept row of
+``keep_one``, the first by id, then by hash of the text. An empty table gives an
+empty result. Only ``doc_id`` and ``text`` are read, so further columns do not clash.
 """
 
 from __future__ import annotations
@@ -35,14 +41,25 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from gleaner.llm.common import LOWER, fresh, hash_spans, materialize, mix, powers, slices, word_spans
 
 SHINGLE = 5
 SIMILAR, OF = 80, 100
 CROWD = 12
-#: Parts a shingle of the band's largest size: the first sketch, and the finer one for crowded classes.
+#: Parts a shingle of the band's largest size: the first sketch, and the finer one for classes in doubt.
 FINENESS = (0.32, 1.6)
+#: Pairs that one copy of a class's text serves.
+PAIRS_A_COPY = 64
+#: Shingles of texts that a verifying task keeps at hand.
+CACHED = 1 << 21
+#: A class is compared with 2 ** ROUND_BITS times as many others from round to round.
+ROUND_BITS = 4
+SPARE_BITS = 24
+MOST_SPARE = (1 << SPARE_BITS) - 1
+MET = "a long, b long, band int, need int, key long, spare int"
+MET_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()), ("need", pa.int32()), ("key", pa.int64()), ("spare", pa.int32())])
 U64 = np.uint64
 
 
@@ -117,11 +134,11 @@ def scan(batches):
 
 
 def keys_of(batches, fineness: float):
-    """(key, fp, need) of the sketch parts, with how many are equal at least in a linked pair; a task gives each class once, as far as it remembers."""
+    """(key, fp, tag) of the sketch parts; the tag holds the band and how many parts a linked pair shares at least. A task gives each class once, as far as it remembers."""
     seen: set[int] = set()
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column("text")):
-            keys, fps, needs = [], [], []
+            keys, fps, tags = [], [], []
             for s in shingle_sets(data, offsets):
                 fp = fingerprint(s)
                 if not fp or fp in seen:
@@ -133,38 +150,24 @@ def keys_of(batches, fineness: float):
                     k, spare = sketch(s, band, fineness)
                     keys.append(k)
                     fps.append(np.full(len(k), fp, np.int64))
-                    needs.append(np.full(len(k), spare, np.int32))
+                    tags.append(np.full(len(k), band << SPARE_BITS | max(0, min(spare, MOST_SPARE)), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(needs))], names=["key", "fp", "need"])
-
-
-def spare_of(batches, fineness: float):
-    """By class and band: the keys, and how many may be crowded."""
-    for batch in batches:
-        out: list[list] = [[], [], []]
-        for _, _, data, offsets in slices(batch.column("text")):
-            for s in shingle_sets(data, offsets):
-                fp = fingerprint(s)
-                for band in bands(len(s)) if fp else []:
-                    keys, spare = sketch(s, band, fineness)
-                    out[0].append(fp)
-                    out[1].append(spare)
-                    out[2].append(keys.view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["fp", "spare", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(tags))], names=["key", "fp", "tag"])
 
 
 def meetings(batches, crowd: int):
-    """From (key, fp, need) sorted: pairs of classes that share a key, (a, b, need, crowded key or null).
+    """From (key, fp, tag) sorted: pairs of classes that share a key, (a, b, band, need, key and spare).
 
-    Up to ``crowd`` classes meet pairwise. A crowded key pairs each class with the
-    smallest, in one row a class (the smallest with itself). Rows are given as
-    they come, no group is held beyond ``crowd`` classes.
+    Up to ``crowd`` classes meet pairwise, key and spare null. A crowded key pairs
+    each class with the smallest, in one row a class (the smallest with itself)
+    that holds the key and the class's own spare. Rows are given as they come, no
+    group is held beyond ``crowd`` classes.
     """
     key_now, members, crowded, last = None, [], False, None
     out: list[tuple] = []
 
     def pair(a, b, key=None):
-        out.append((a[0], b[0], max(a[1], b[1]), key))
+        out.append((a[0], b[0], b[1] >> SPARE_BITS, max(a[1], b[1]) & MOST_SPARE, key, None if key is None else b[1] & MOST_SPARE))
 
     def close():
         if not crowded:
@@ -173,12 +176,12 @@ def meetings(batches, crowd: int):
                     pair(members[i], members[j])
 
     def give():
-        cols = list(zip(*out)) if out else [[], [], [], []]
+        cols = list(zip(*out)) if out else [[] for _ in MET_SCHEMA]
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64()))], names=["a", "b", "need", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, MET_SCHEMA)], schema=MET_SCHEMA)
 
     for batch in batches:
-        key, fp, need = (batch.column(c).to_numpy() for c in ("key", "fp", "need"))
+        key, fp, tag = (batch.column(c).to_numpy() for c in ("key", "fp", "tag"))
         if not len(key):
             continue
         # Keys of a single class, which nearly all are, are passed over at once.
@@ -187,7 +190,7 @@ def meetings(batches, crowd: int):
         shared = same[:-1] | same[1:]
         shared[-1] = True
         shared[0] = True
-        for k, f, n in zip(key[shared].tolist(), fp[shared].tolist(), need[shared].tolist()):
+        for k, f, n in zip(key[shared].tolist(), fp[shared].tolist(), tag[shared].tolist()):
             if k != key_now:
                 close()
                 key_now, members, crowded, last = k, [], False, None
@@ -196,6 +199,8 @@ def meetings(batches, crowd: int):
             last = f
             if crowded:
                 pair(members[0], (f, n), k)
+                if len(out) >= 1 << 16:
+                    yield give()
             else:
                 members.append((f, n))
                 if len(members) > crowd:
@@ -210,19 +215,30 @@ def meetings(batches, crowd: int):
 
 def verified(batches):
     """Pairs of texts that link."""
+    sets: dict[int, np.ndarray] = {}
+    held = 0
+
+    def set_of(fp: int, text) -> np.ndarray:
+        nonlocal held
+        if fp not in sets:
+            if held > CACHED:
+                sets.clear()
+                held = 0
+            sets[fp] = one_set(text.as_py())
+            held += len(sets[fp])
+        return sets[fp]
+
     for batch in batches:
         ok = np.zeros(batch.num_rows, bool)
-        a_text, b_text = batch.column("a_text"), batch.column("b_text")
-        last, a_set = None, None
-        fps = batch.column("a").to_pylist()
-        for i in range(batch.num_rows):
-            if fps[i] != last:
-                last, a_set = fps[i], one_set(a_text[i].as_py())
-            b_set = one_set(b_text[i].as_py())
-            common = len(np.intersect1d(a_set, b_set, assume_unique=True))
-            ok[i] = common * OF >= SIMILAR * (len(a_set) + len(b_set) - common)
+        a, b, a_text, b_text = (batch.column(c) for c in ("a", "b", "a_text", "b_text"))
+        for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
+            a_set, b_set = set_of(x, a_text[i]), set_of(y, b_text[i])
+            small, large = sorted((len(a_set), len(b_set)))
+            if small * OF >= SIMILAR * large:
+                common = len(np.intersect1d(a_set, b_set, assume_unique=True))
+                ok[i] = common * OF >= SIMILAR * (len(a_set) + len(b_set) - common)
         mask = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
 
 def one_set(text: str) -> np.ndarray:
@@ -231,16 +247,15 @@ def one_set(text: str) -> np.ndarray:
 
 
 def meet(docs: DataFrame, fineness: float, crowd: int, name: str) -> DataFrame:
-    keys = docs.select("text").mapInArrow(lambda it: keys_of(it, fineness), "key long, fp long, need int")
-    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: meetings(it, crowd), "a long, b long, need int, key long"), name)
+    keys = docs.select("text").mapInArrow(lambda it: keys_of(it, fineness), "key long, fp long, tag int")
+    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: meetings(it, crowd), MET), name)
 
 
-def plausible(met: DataFrame) -> DataFrame:
-    """Pairs with enough equal parts: as many as a linked pair has, less those that may be hidden in crowded parts."""
-    crowds = materialize(met.where("key is not null").groupBy(F.col("b").alias("fp")).agg(F.count(F.lit(1)).alias("c")), "crowds")
-    pairs = met.where("a != b").groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("n"))
+def plausible(met: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Pairs with enough equal parts: as many as a linked pair has in the band, less those that may be hidden in crowded parts."""
+    pairs = met.where("a != b").groupBy("a", "b", "band", "need").agg(F.count(F.lit(1)).alias("n"))
     for side in "ab":
-        pairs = pairs.join(crowds.select(F.col("fp").alias(side), F.col("c").alias(f"c_{side}")), side, "left")
+        pairs = pairs.join(crowds.select(F.col("fp").alias(side), "band", F.col("crowded").alias(f"c_{side}")), [side, "band"], "left")
     hidden = F.least(F.coalesce("c_a", F.lit(0)), F.coalesce("c_b", F.lit(0)))
     return pairs.where(F.col("n") >= F.greatest(F.lit(1), F.col("need") - hidden)).select("a", "b")
 
@@ -252,11 +267,20 @@ def texts_of(fps: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs of classes."""
+    """The linked ones of pairs of classes.
+
+    A class that many others are compared with has its text copied once for
+    ``PAIRS_A_COPY`` pairs, and copies are joined under keys of their own, so none is a hot key.
+    """
     pairs = materialize(pairs.where("a != b").select("a", "b").distinct(), "pairs")
     found = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), docs, classes)
-    both = pairs.join(found.select(F.col("fp").alias("a"), F.col("text").alias("a_text")), "a").join(found.select(F.col("fp").alias("b"), F.col("text").alias("b_text")), "b")
-    return materialize(both.select("a", "b", "a_text", "b_text").mapInArrow(verified, "a long, b long"), "links")
+    for side in "ab":
+        copies = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies")).where("copies > 1")
+        texts = found.select(F.col("fp").alias(side), F.col("text").alias(f"{side}_text")).join(copies, side, "left")
+        texts = texts.select(side, f"{side}_text", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+        other = "b" if side == "a" else "a"
+        pairs = pairs.join(copies, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies").join(texts, [side, "copy"]).drop("copy")
+    return materialize(pairs.select("a", "b", "a_text", "b_text").mapInArrow(verified, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,56 +298,111 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("fp", "label")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """fp, label of all classes that have links. ``docs``: row, text; ``classes``: fp and the row of a document."""
-    met = meet(docs, FINENESS[0], crowd, "meetings")
-    links = verify(plausible(met), docs, classes)
-    subset = docs
-    for level, finer in zip(FINENESS, (*FINENESS[1:], None)):
-        labels = components(links)
-        crowded = met.where("key is not null").select("key", F.col("b").alias("fp"))
-        # Crowded keys whose classes are not all connected yet.
-        tagged = crowded.join(labels, "fp", "left").select("key", "fp", F.coalesce("label", "fp").alias("label"))
-        open_keys = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        tagged = materialize(tagged.join(open_keys, "key", "left_semi"), "crowded")
-        if not tagged.limit(1).count():
-            return labels
-        # A class that has calm parts enough has met all its partners.
-        suspects = texts_of(tagged.select("fp").distinct(), subset, classes)
-        spare = suspects.select("text").mapInArrow(lambda it, f=level: spare_of(it, f), "fp long, spare long, keys array<long>")
-        counted = spare.select("fp", "spare", F.monotonically_increasing_id().alias("who"), F.explode("keys").alias("key")).join(crowded.select("key").distinct(), "key").groupBy("who", "fp", "spare").agg(F.count(F.lit(1)).alias("n"))
-        doubtful = materialize(counted.where("n >= spare").select("fp").distinct(), "doubtful")
-        if not doubtful.limit(1).count():
-            return labels
-        if finer is not None:
-            subset = materialize(suspects.join(doubtful, "fp", "left_semi").join(classes.select("fp", "row"), "fp").select("row", "text"), "doubtful-texts")
-            met = meet(subset, finer, crowd, "finer-meetings")
-            more = verify(plausible(met), subset, classes)
+def doubtful_rows(met: DataFrame, crowds: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(key, fp, band, spare, label) of crowded parts that may hide a link, or None.
+
+    A class hides one in a band only if it has as many crowded parts as a linked
+    pair shares, and all the parts such a pair shares hold classes not connected yet.
+    """
+    few = crowds.where("crowded >= spare").select("fp", "band")
+    rows = materialize(met.where("key is not null").select("key", F.col("b").alias("fp"), "band", "spare").join(few, ["fp", "band"], "left_semi"), "crowded")
+    if rows.isEmpty():
+        return None
+    rows = rows.join(components(links), "fp", "left").select("key", "fp", "band", "spare", F.coalesce("label", "fp").alias("label"))
+    open_keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+    rows = materialize(rows.join(open_keys, "key", "left_semi"), "open")
+    enough = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("n"), F.max("spare").alias("spare")).where("n >= spare").select("fp", "band")
+    rows = materialize(rows.join(enough, ["fp", "band"], "left_semi"), "doubtful")
+    return None if rows.isEmpty() else rows
+
+
+def rarest(rest: DataFrame) -> DataFrame:
+    """The rows of ``rest`` in which every link it hides shows.
+
+    A linked pair shares ``spare`` of a class's parts at least, so, in one order
+    of all parts, the first it shares stands before the class's last ``spare`` - 1. Rare parts come first.
+    """
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    own = Window.partitionBy("fp", "band")  # no more rows than a sketch has parts
+    ranked = rest.join(sizes, "key").withColumn("nth", F.row_number().over(own.orderBy("size", "key"))).withColumn("n", F.count(F.lit(1)).over(own))
+    return ranked.where(F.col("nth") <= F.col("n") - F.greatest(F.lit(1), F.col("spare")) + 1).select("key", "fp", "n")
+
+
+def all_met(rest: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The links and those among the rows of ``rest``: each part's classes are compared with its most typical
+    one, then with a share of them that grows round by round, until all are connected or have met."""
+    rest = materialize(rarest(rest), "rare")
+    largest = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).agg(F.max("size")).first()[0]
+    bits = -(-int(largest or 1).bit_length() // ROUND_BITS) * ROUND_BITS
+    place = F.xxhash64("fp", "key")
+    before = None
+    salts = F.lit(16)
+    while before != 0:
+        now = rest.join(components(links), "fp", "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("label"))
+        open_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("fp", F.struct("n", "fp")).alias("typical")).where("lo != hi").select("key", "typical")
+        now = materialize(now.join(open_keys, "key"), "rest")
+        if now.isEmpty():
+            break
+        if before is None:
+            centre = F.col("fp") == F.col("typical")
+            before = bits
         else:
-            rest = tagged.join(doubtful, "fp", "left_semi").withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(64)).cast("int"))
-            other = rest.select("key", F.col("fp").alias("b"), F.col("label").alias("b_label"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
-            left = rest.select("key", F.col("fp").alias("a"), F.col("label").alias("a_label"), "block").join(other, ["key", "block"]).where("a < b and a_label != b_label")
-            more = verify(left, subset, classes)
+            centre = F.pmod(place, F.lit(1 << max(0, before - ROUND_BITS))) == 0
+            if before < bits:
+                centre &= F.pmod(place, F.lit(1 << before)) != 0  # the others have been centres
+            before -= ROUND_BITS
+        centres = now.where(centre).select("key", F.col("fp").alias("c"), F.col("label").alias("c_label"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        met = now.withColumn("salt", F.pmod(F.xxhash64("fp"), salts).cast("int")).join(centres, ["key", "salt"]).where("label != c_label")
+        more = verify(met.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")), docs, classes)
         links = materialize(links.unionByName(more), "links")
-    return components(links)
+    return links
 
 
-def similarity_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+def link_classes(docs: DataFrame, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """fp, label of all classes that have links. ``docs``: row, text; ``classes``: fp and the row of a document."""
+    links, subset, rest = None, docs, None
+    for fineness in FINENESS:
+        met = meet(subset, fineness, crowd, "meetings")
+        crowds = materialize(met.where("key is not null").groupBy(F.col("b").alias("fp"), "band").agg(F.count(F.lit(1)).alias("crowded"), F.max("spare").alias("spare")), "crowds")
+        found = verify(plausible(met, crowds), subset, classes)
+        links = found if links is None else materialize(links.unionByName(found), "links")
+        rest = doubtful_rows(met, crowds, links)
+        if rest is None:
+            return components(links)
+        subset = texts_of(rest.select("fp").distinct(), subset, classes).join(classes.select("fp", "row"), "fp").select("row", "text")
+        subset = materialize(subset, "doubtful-texts")
+    return components(all_met(rest, links, subset, classes))
+
+
+def row_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, row (hash of id and text), n_shingles, component_id and kept (the row of the group's first document) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     rows = materialize(docs.mapInArrow(scan, "doc_id long, row long, fp long, n_shingles long"), "sets")
-    classes = rows.where("fp != 0").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "row")).alias("one"))
-    classes = materialize(classes.select("fp", "first", F.col("one.row").alias("row")), "classes")
-    labels = link_classes(docs.select("row", "text"), classes, crowd)
+    # A group's first document is the first that has an id.
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+    classes = rows.where("fp != 0").groupBy("fp").agg(first.alias("first"), F.min("row").alias("row"))
+    classes = materialize(classes, "classes")
+    labels = link_classes(docs.select("row", "text"), classes.select("fp", "row"), crowd)
     named = classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_class = materialize(named.join(smallest, "label").select("fp", "component_id"), "class-components")
-    alone = rows.where("fp = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.where("fp != 0").join(of_class, "fp").select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    smallest = named.groupBy("label").agg(F.min("first").alias("first"))
+    of_class = materialize(named.select("fp", "label").join(smallest, "label").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("kept")), "class-components")
+    alone = rows.where("fp = 0").select("doc_id", "row", "n_shingles", F.col("doc_id").alias("component_id"), F.col("row").alias("kept"))
+    return rows.where("fp != 0").join(of_class, "fp").select("doc_id", "row", "n_shingles", "component_id", "kept").unionByName(alone)
+
+
+def similarity_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    return row_components(docs, crowd).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """The rows of ``docs``, all columns, without those of a component but the one of smallest id; rows without shingles or id stay."""
-    id_, drop = fresh(docs, "_id"), fresh(docs, "_drop")
-    dropped = similarity_components(docs, crowd).where("doc_id != component_id").select(F.col("doc_id").alias(drop)).distinct()
-    return docs.withColumn(id_, F.col("doc_id").cast("long")).join(materialize(dropped, "dropped").hint("shuffle_hash"), F.col(id_) == F.col(drop), "left_anti").drop(id_)
+    """The rows of ``docs``, all columns, without those of a group but its first: the smallest id, of equal ids the smallest hash.
+
+    Rows without shingles or id stay, and so do all rows equal to the kept one in
+    id and text. Other rows of a dropped row's id are not touched.
+    """
+    id_, row, drop_id, drop = (fresh(docs, c) for c in ("_id", "_row", "_drop_id", "_drop"))
+    dropped = row_components(docs, crowd).where("doc_id is not null and (doc_id != component_id or row != kept)")
+    dropped = materialize(dropped.select(F.col("doc_id").alias(drop_id), F.col("row").alias(drop)).distinct(), "dropped")
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(row, F.xxhash64(id_, F.coalesce("text", F.lit(""))))
+    return keyed.join(dropped.hint("shuffle_hash"), (F.col(row) == F.col(drop)) & (F.col(id_) == F.col(drop_id)), "left_anti").drop(id_, row)
