@@ -18,9 +18,10 @@ compared with the smallest class only. The rows of the meeting tell how many
 crowded parts a class has in a band; with fewer than a linked pair shares, it
 must share a calm part with each partner, so nothing is lost. Nor is anything lost
 in a crowded part whose classes are all connected already. What is left (classes
-mostly made of crowded, unconnected parts) is joined again by a finer sketch, and
-what that leaves is compared, by its rarest parts, with a share of each part's
-classes that grows from round to round until all are connected or have met.
+mostly made of crowded, unconnected parts) is joined again with each shingle as a part. What
+that leaves is compared with the most typical class of each part, and what is still
+open pair by pair, but only in the rarest parts of either class that a linked pair
+cannot do without: few, since near copies that do not link differ in parts of their own.
 Candidates are verified on whole texts; links are exact up to 64-bit collisions.
 Connected components come from min-label propagation with pointer jumping over
 the links, each round written to the shared folder.
@@ -37,10 +38,11 @@ empty result. Only ``doc_id`` and ``text`` are read, so further columns do not c
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from gleaner.llm.common import LOWER, fresh, hash_spans, materialize, mix, powers, slices, word_spans
@@ -48,18 +50,17 @@ from gleaner.llm.common import LOWER, fresh, hash_spans, materialize, mix, power
 SHINGLE = 5
 SIMILAR, OF = 80, 100
 CROWD = 12
-#: Parts a shingle of the band's largest size: the first sketch, and the finer one for classes in doubt.
-FINENESS = (0.32, 1.6)
+#: Parts a shingle of the band's largest size: the first sketch, and the finer one for classes in doubt; infinite: every shingle is a part of its own.
+FINENESS = (0.32, math.inf)
 #: Pairs that one copy of a class's text serves.
 PAIRS_A_COPY = 64
 #: Shingles of texts that a verifying task keeps at hand.
 CACHED = 1 << 21
-#: A class is compared with 2 ** ROUND_BITS times as many others from round to round.
-ROUND_BITS = 4
-SPARE_BITS = 24
-MOST_SPARE = (1 << SPARE_BITS) - 1
-MET = "a long, b long, band int, need int, key long, spare int"
-MET_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()), ("need", pa.int32()), ("key", pa.int64()), ("spare", pa.int32())])
+#: Copies of the fewer side where what is left is compared.
+SALTS = 16
+TAG_BITS = 28
+MET = "a long, b long, band int, need int, key long, room int, size int"
+MET_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int32()), ("need", pa.int32()), ("key", pa.int64()), ("room", pa.int32()), ("size", pa.int32())])
 U64 = np.uint64
 
 
@@ -102,7 +103,9 @@ def parts_of(band: int, fineness: float) -> int:
 
 
 def sketch(s: np.ndarray, band: int, fineness: float) -> tuple[np.ndarray, int]:
-    """Keys of the parts to join on, and how many of them may be crowded before a partner could be missed."""
+    """Keys of the parts to join on, and how many parts are neither empty nor need they differ from any partner's."""
+    if math.isinf(fineness):
+        return mix(s ^ U64(0x5E7)), len(s)
     parts = parts_of(band, fineness)
     seed = U64((band * 2 + 1) * 0x9E3779B97F4A7C15 % (1 << 64) ^ round(fineness * 1000))
     h = mix(s ^ seed)
@@ -111,10 +114,7 @@ def sketch(s: np.ndarray, band: int, fineness: float) -> tuple[np.ndarray, int]:
     part, h = part[order], h[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     parity = np.bitwise_xor.reduceat(mix(h), first)
-    largest = min(5 * len(s) // 4, (1 << band) - 1)  # of a partner in this band
-    differ = (len(s) + largest) // 9
-    empty = parts - len(first)
-    spare = parts - differ - empty
+    spare = len(first) - (len(s) + largest_partner(len(s), band)) // 9
     keys = mix(parity ^ mix(part[first].astype(U64) + seed))
     if spare < 1:
         # Too many empty parts for the bound: join on them as well. A partner in the same case does so too.
@@ -123,6 +123,35 @@ def sketch(s: np.ndarray, band: int, fineness: float) -> tuple[np.ndarray, int]:
     return keys, spare
 
 
+def largest_partner(n: int, band: int) -> int:
+    return min(5 * n // 4, (1 << band) - 1)
+
+
+@dataclass(frozen=True)
+class Least:
+    """How many parts classes that link share at least. ``room``: a sketch's parts that are not empty; ``size``: of the set."""
+
+    whole: bool  # every shingle is a part
+
+    def pair(self, a: tuple, b: tuple) -> int:
+        """Of two classes (fp, size, room, band)."""
+        return (4 * (a[1] + b[1]) + 8) // 9 if self.whole else max(a[2], b[2]) - (a[1] + b[1]) // 9
+
+    def of_pair(self, size_a: Column, room_a: Column, size_b: Column, room_b: Column) -> Column:
+        return F.ceil(4 * (size_a + size_b) / 9) if self.whole else F.greatest(room_a, room_b) - F.floor((size_a + size_b) / 9)
+
+    def as_small(self) -> Column:
+        """With any partner no smaller than itself."""
+        size = F.col("size")
+        largest = F.least(F.floor(5 * size / 4), F.expr("shiftleft(1, band) - 1"))
+        return F.greatest(F.lit(1), F.ceil(8 * size / 9) if self.whole else F.col("room") - F.floor((size + largest) / 9)).cast("int")
+
+    def as_large(self) -> Column:
+        """With any partner no larger than itself."""
+        size = F.col("size")
+        return F.greatest(F.lit(1), F.ceil(4 * size / 5) if self.whole else F.col("room") - F.floor(2 * size / 9)).cast("int")
+
+
 def scan(batches):
     """Fingerprint and set size of each row."""
     for batch in batches:
@@ -134,7 +163,7 @@ def scan(batches):
 
 
 def keys_of(batches, fineness: float):
-    """(key, fp, tag) of the sketch parts; the tag holds the band and how many parts a linked pair shares at least. A task gives each class once, as far as it remembers."""
+    """(key, fp, tag) of the sketch parts; the tag holds the band, the set's size and the room (see ``Least``). A task gives each class once, as far as it remembers."""
     seen: set[int] = set()
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column("text")):
@@ -146,28 +175,33 @@ def keys_of(batches, fineness: float):
                 if len(seen) > 1 << 20:
                     seen.clear()
                 seen.add(fp)
-                for band in bands(len(s)):
+                for band in [0] if math.isinf(fineness) else bands(len(s)):
                     k, spare = sketch(s, band, fineness)
                     keys.append(k)
                     fps.append(np.full(len(k), fp, np.int64))
-                    tags.append(np.full(len(k), band << SPARE_BITS | max(0, min(spare, MOST_SPARE)), np.int32))
+                    room = spare if math.isinf(fineness) else spare + (len(s) + largest_partner(len(s), band)) // 9
+                    tags.append(np.full(len(k), band << 2 * TAG_BITS | len(s) << TAG_BITS | room, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(tags))], names=["key", "fp", "tag"])
 
 
-def meetings(batches, crowd: int):
-    """From (key, fp, tag) sorted: pairs of classes that share a key, (a, b, band, need, key and spare).
+def meetings(batches, crowd: int, least: Least):
+    """From (key, fp, tag) sorted: pairs of classes that share a key, (a, b, band, need; key, room, size).
 
-    Up to ``crowd`` classes meet pairwise, key and spare null. A crowded key pairs
-    each class with the smallest, in one row a class (the smallest with itself)
-    that holds the key and the class's own spare. Rows are given as they come, no
-    group is held beyond ``crowd`` classes.
+    ``need``: how many parts the two share at least if they link. Up to ``crowd``
+    classes meet pairwise, the other columns null. A crowded key pairs each class
+    with the smallest, in one row a class (the smallest with itself) that holds the
+    key and the class's own room and size. Rows are given as they come, no group is
+    held beyond ``crowd`` classes.
     """
     key_now, members, crowded, last = None, [], False, None
     out: list[tuple] = []
 
     def pair(a, b, key=None):
-        out.append((a[0], b[0], b[1] >> SPARE_BITS, max(a[1], b[1]) & MOST_SPARE, key, None if key is None else b[1] & MOST_SPARE))
+        if key is not None:
+            out.append((a[0], b[0], b[3], least.pair(a, b), key, b[2], b[1]))
+        elif min(a[1], b[1]) * OF >= SIMILAR * max(a[1], b[1]):
+            out.append((a[0], b[0], b[3], least.pair(a, b), None, None, None))
 
     def close():
         if not crowded:
@@ -190,19 +224,21 @@ def meetings(batches, crowd: int):
         shared = same[:-1] | same[1:]
         shared[-1] = True
         shared[0] = True
-        for k, f, n in zip(key[shared].tolist(), fp[shared].tolist(), tag[shared].tolist()):
+        key, fp, tag = key[shared], fp[shared], tag[shared]
+        band, size, room = tag >> 2 * TAG_BITS, tag >> TAG_BITS & (1 << TAG_BITS) - 1, tag & (1 << TAG_BITS) - 1
+        for k, *own in zip(*(x.tolist() for x in (key, fp, size, room, band))):
             if k != key_now:
                 close()
                 key_now, members, crowded, last = k, [], False, None
-            if f == last:
+            if own[0] == last:
                 continue
-            last = f
+            last = own[0]
             if crowded:
-                pair(members[0], (f, n), k)
+                pair(members[0], own, k)
                 if len(out) >= 1 << 16:
                     yield give()
             else:
-                members.append((f, n))
+                members.append(own)
                 if len(members) > crowd:
                     crowded = True
                     for m in members:
@@ -247,13 +283,14 @@ def one_set(text: str) -> np.ndarray:
 
 
 def meet(docs: DataFrame, fineness: float, crowd: int, name: str) -> DataFrame:
-    keys = docs.select("text").mapInArrow(lambda it: keys_of(it, fineness), "key long, fp long, tag int")
-    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: meetings(it, crowd), MET), name)
+    keys = docs.select("text").mapInArrow(lambda it: keys_of(it, fineness), "key long, fp long, tag long")
+    least = Least(math.isinf(fineness))
+    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: meetings(it, crowd, least), MET), name)
 
 
 def plausible(met: DataFrame, crowds: DataFrame) -> DataFrame:
     """Pairs with enough equal parts: as many as a linked pair has in the band, less those that may be hidden in crowded parts."""
-    pairs = met.where("a != b").groupBy("a", "b", "band", "need").agg(F.count(F.lit(1)).alias("n"))
+    pairs = met.where("a != b").groupBy("a", "b", "band").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need"))
     for side in "ab":
         pairs = pairs.join(crowds.select(F.col("fp").alias(side), "band", F.col("crowded").alias(f"c_{side}")), [side, "band"], "left")
     hidden = F.least(F.coalesce("c_a", F.lit(0)), F.coalesce("c_b", F.lit(0)))
@@ -298,80 +335,70 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("fp", "label")
 
 
-def doubtful_rows(met: DataFrame, crowds: DataFrame, links: DataFrame) -> DataFrame | None:
-    """(key, fp, band, spare, label) of crowded parts that may hide a link, or None.
+def open_rows(rows: DataFrame, links: DataFrame, least: Least) -> DataFrame:
+    """The rows (key, fp, band, room, size) that may hide a link, with a label, ``n``, and whether as the smaller or the larger class.
 
-    A class hides one in a band only if it has as many crowded parts as a linked
-    pair shares, and all the parts such a pair shares hold classes not connected yet.
+    Classes that link share so and so many parts. If no calm part is among them, all
+    are crowded and hold classes not connected yet; so a class with fewer such
+    parts hides nothing, nor does a part without a smaller and a larger class.
     """
-    few = crowds.where("crowded >= spare").select("fp", "band")
-    rows = materialize(met.where("key is not null").select("key", F.col("b").alias("fp"), "band", "spare").join(few, ["fp", "band"], "left_semi"), "crowded")
-    if rows.isEmpty():
-        return None
-    rows = rows.join(components(links), "fp", "left").select("key", "fp", "band", "spare", F.coalesce("label", "fp").alias("label"))
-    open_keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-    rows = materialize(rows.join(open_keys, "key", "left_semi"), "open")
-    enough = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("n"), F.max("spare").alias("spare")).where("n >= spare").select("fp", "band")
-    rows = materialize(rows.join(enough, ["fp", "band"], "left_semi"), "doubtful")
-    return None if rows.isEmpty() else rows
-
-
-def rarest(rest: DataFrame) -> DataFrame:
-    """The rows of ``rest`` in which every link it hides shows.
-
-    A linked pair shares ``spare`` of a class's parts at least, so, in one order
-    of all parts, the first it shares stands before the class's last ``spare`` - 1. Rare parts come first.
+    rows = rows.join(components(links), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    for _ in range(2):
+        own = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("n"), F.first("room").alias("room"), F.first("size").alias("size"))
+        own = own.select("fp", "band", "n", (F.col("n") >= least.as_small()).alias("small"), (F.col("n") >= least.as_large()).alias("large")).where("small or large")
+        rows = rows.drop("n", "small", "large").join(own, ["fp", "band"])
+        some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("s"), F.max("large").alias("l")).where("lo != hi and s and l").select("key")
+        rows = materialize(rows.join(some, "key", "left_semi"), "open")
+    return rows
+
+
+def first_shared(rest: DataFrame, shared: Column) -> DataFrame:
+    """The rows of ``rest`` in which every link shows, given that a class shares so many of its parts at least.
+
+    In one order of all parts, the first part a pair shares stands before either
+    class's last ``shared`` - 1. Rare parts come first, so the rows kept are those of small groups.
     """
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    own = Window.partitionBy("fp", "band")  # no more rows than a sketch has parts
-    ranked = rest.join(sizes, "key").withColumn("nth", F.row_number().over(own.orderBy("size", "key"))).withColumn("n", F.count(F.lit(1)).over(own))
-    return ranked.where(F.col("nth") <= F.col("n") - F.greatest(F.lit(1), F.col("spare")) + 1).select("key", "fp", "n")
-
-
-def all_met(rest: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The links and those among the rows of ``rest``: each part's classes are compared with its most typical
-    one, then with a share of them that grows round by round, until all are connected or have met."""
-    rest = materialize(rarest(rest), "rare")
-    largest = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size")).agg(F.max("size")).first()[0]
-    bits = -(-int(largest or 1).bit_length() // ROUND_BITS) * ROUND_BITS
-    place = F.xxhash64("fp", "key")
-    before = None
-    salts = F.lit(16)
-    while before != 0:
-        now = rest.join(components(links), "fp", "left").select("key", "fp", "n", F.coalesce("label", "fp").alias("label"))
-        open_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("fp", F.struct("n", "fp")).alias("typical")).where("lo != hi").select("key", "typical")
-        now = materialize(now.join(open_keys, "key"), "rest")
-        if now.isEmpty():
-            break
-        if before is None:
-            centre = F.col("fp") == F.col("typical")
-            before = bits
-        else:
-            centre = F.pmod(place, F.lit(1 << max(0, before - ROUND_BITS))) == 0
-            if before < bits:
-                centre &= F.pmod(place, F.lit(1 << before)) != 0  # the others have been centres
-            before -= ROUND_BITS
-        centres = now.where(centre).select("key", F.col("fp").alias("c"), F.col("label").alias("c_label"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        met = now.withColumn("salt", F.pmod(F.xxhash64("fp"), salts).cast("int")).join(centres, ["key", "salt"]).where("label != c_label")
-        more = verify(met.select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b")), docs, classes)
-        links = materialize(links.unionByName(more), "links")
-    return links
+    own = Window.partitionBy("fp", "band").orderBy("classes", "key")  # no more rows than a sketch has parts
+    return rest.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= F.col("n") - shared + 1).drop("nth")
+
+
+def all_met(rest: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, least: Least) -> DataFrame:
+    """``links`` and those among the rows of ``rest``: first with each part's most typical class, then each larger class with the smaller ones by the rarest parts."""
+    typical = rest.groupBy("key").agg(F.max_by(F.struct("fp", "label"), F.struct("n", "fp")).alias("t")).select("key", F.col("t.fp").alias("c"), F.col("t.label").alias("c_label"))
+    star = rest.join(typical, "key").where("label != c_label").select(F.least("fp", "c").alias("a"), F.greatest("fp", "c").alias("b"))
+    links = materialize(links.unionByName(verify(star, docs, classes)), "links")
+    rest = open_rows(rest.select("key", "fp", "band", "room", "size"), links, least)
+    if rest.isEmpty():
+        return links
+    rest = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("classes")), "key")
+    rest = materialize(rest.join(rest.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("now")), ["fp", "band"]).drop("n").withColumnRenamed("now", "n"), "rest")
+    large = first_shared(rest.where("large"), least.as_large()).select("key", *(F.col(c).alias(f"c_{c}") for c in ("fp", "label", "size", "room", "n")), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    small = first_shared(rest.where("small"), least.as_small()).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    c = F.col
+    in_order = (c("size") < c("c_size")) | ((c("size") == c("c_size")) & (c("fp") < c("c_fp")))
+    enough = F.least("n", "c_n") >= least.of_pair(c("size"), c("room"), c("c_size"), c("c_room"))
+    met = small.join(large, ["key", "salt"]).where((c("label") != c("c_label")) & in_order & (c("size") * OF >= c("c_size") * SIMILAR) & enough)
+    more = verify(met.select(F.least("fp", "c_fp").alias("a"), F.greatest("fp", "c_fp").alias("b")), docs, classes)
+    return materialize(links.unionByName(more), "links")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """fp, label of all classes that have links. ``docs``: row, text; ``classes``: fp and the row of a document."""
-    links, subset, rest = None, docs, None
+    links, subset, rest, least = None, docs, None, None
     for fineness in FINENESS:
+        least = Least(math.isinf(fineness))
         met = meet(subset, fineness, crowd, "meetings")
-        crowds = materialize(met.where("key is not null").groupBy(F.col("b").alias("fp"), "band").agg(F.count(F.lit(1)).alias("crowded"), F.max("spare").alias("spare")), "crowds")
+        crowded = met.where("key is not null").select("key", F.col("b").alias("fp"), "band", "room", "size")
+        crowds = materialize(crowded.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("crowded"), F.first("room").alias("room"), F.first("size").alias("size")), "crowds")
         found = verify(plausible(met, crowds), subset, classes)
         links = found if links is None else materialize(links.unionByName(found), "links")
-        rest = doubtful_rows(met, crowds, links)
-        if rest is None:
+        few = crowds.where(F.col("crowded") >= F.least(least.as_small(), least.as_large())).select("fp", "band")
+        rest = open_rows(materialize(crowded.join(few, ["fp", "band"], "left_semi"), "crowded"), links, least)
+        if rest.isEmpty():
             return components(links)
         subset = texts_of(rest.select("fp").distinct(), subset, classes).join(classes.select("fp", "row"), "fp").select("row", "text")
         subset = materialize(subset, "doubtful-texts")
-    return components(all_met(rest, links, subset, classes))
+    return components(all_met(rest, links, subset, classes, least))
 
 
 def row_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
