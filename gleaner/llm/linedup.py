@@ -10,7 +10,10 @@ then position), so copies of whole documents never vanish altogether.
 
 Lines are compared without white space at their ends; blank lines are no
 boilerplate and stay. A null text stays null, a null source is one more site.
-Repeated rows count once for each row; a text whose lines all go becomes empty.
+Repeated rows count once for each row, of equal rows each keeps the first; a text
+whose lines all go becomes empty; an empty table gives an empty result. A line of
+a third of all rows is one key of the last join only where the boilerplate is
+too large to broadcast; adaptive execution splits it there.
 """
 
 from __future__ import annotations
@@ -50,22 +53,33 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     return sure.unionByName(spread.where(near).join(counted.where(F.col("exact") >= min_sites), "key").select("key", "first"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``docs`` with cleaned ``text`` and two columns more: ``n_lines``, ``n_removed``."""
+def _marked(docs: DataFrame, min_sites: int, lg_k: int) -> tuple[DataFrame, str, list[Column]]:
+    """``docs`` with a column more of the places of the lines to go, its name, and the columns of ``docs`` with the cleaned text."""
     lines = lines_of(docs)
     known = materialize(boilerplate(lines, min_sites, lg_k), "boilerplate")
     row, gone = fresh(docs, "_row"), fresh(docs, "_gone")
     hits = lines.join(known, "key").where(F.struct("doc_id", "row", "pos") != F.col("first")).groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(gone))
-    split = F.split("text", "\n")
-    kept = F.filter(split, lambda _, i: ~F.array_contains(F.col(gone), i))
-    out = docs.withColumn(row, row_key()).join(hits, row, "left")
+    kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains(F.col(gone), i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+    return docs.withColumn(row, row_key()).join(hits, row, "left"), gone, [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """``docs`` with cleaned ``text`` and two columns more: ``n_lines``, ``n_removed`` (with a ``_`` added where ``docs`` has that name)."""
+    out, gone, columns = _marked(docs, min_sites, lg_k)
     return out.select(
-        *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        *columns,
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias(fresh(docs, "n_lines")),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(fresh(docs, "n_removed")),
     )
 
 
+def clean_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """``docs``, all columns as they are but the cleaned ``text``."""
+    out, _, columns = _marked(docs, min_sites, lg_k)
+    return out.select(*columns)
+
+
 def oracle(min_sites: int = MIN_SITES) -> str:
     return f"""
 WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
