@@ -6,11 +6,14 @@ mean over its letter positions. Gates and candidate use piecewise-linear
 sigmoid and tanh, so a step is a gather, one small product and a few array
 passes, for a thousand segments at once. The network is trained on the driver in
 numpy, by backpropagation through time with Adam, on segments of a bounded
-sample: about ``PER_LANG`` labelled rows for each language, none held out.
-
-Whole texts are labelled. Null texts and texts without a letter are ``und`` with
-score 0; a null id is not held out; repeated rows get equal results. Where no
-row has a language all are ``und``.
+sample: about ``PER_LANG`` labelled rows for each of the ``MOST_LANGS`` most
+frequent languages, none held out, ``SEGMENTS_PER_TEXT`` segments a row.
+
+Whole texts are labelled, however long, a slice at a time. Null texts and texts
+without a letter are ``und`` with score 0; a null id is not held out; repeated rows
+get equal results; of equally likely languages the first by name is given. Where no
+row has a language all are ``und``; an empty table gives an empty result. Only
+``doc_id``, ``text`` and ``lang`` are read, so further columns do not clash.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.common import buffers, remainder, slices
+from gleaner.llm.common import remainder, slices
 
 HIDDEN = 16
 SEGMENT = 128
 TRAIN_SEGMENT = 64
 BATCH = 1024
 PER_LANG = 600
+MOST_LANGS = 256
 SEGMENTS_PER_TEXT = 6
 EPOCHS = 6
 FOLDS, HELD = 3, 1
@@ -102,16 +106,71 @@ def segments(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 32, 32).astype(np.uint8), row
 
 
-def fit(seg: np.ndarray, label: np.ndarray, langs: list[str], epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Net:
-    """Backpropagation through time over the mean cross-entropy of letter positions."""
-    rng = np.random.default_rng(seed)
-    hs, n_lang, steps = HIDDEN, len(langs), seg.shape[1]
-    p = {
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over the letter positions of time-major segments, and its slopes by backpropagation through time."""
+    steps, n = x.shape
+    hs = p["state"].shape[1]
+    kind = p["state"].dtype
+    index = np.stack([x, x[::-1].astype(np.int64) + 256], 1)  # time, direction, segment
+    h = np.zeros((2, n, hs), kind)
+    kept = []
+    states = np.zeros((steps, 2, n, hs), kind)
+    for t in range(steps):
+        a, c = p["table"][index[t]], np.matmul(h, p["state"])
+        pre = 0.25 * (a[..., : 2 * hs] + c[..., : 2 * hs]) + 0.5
+        gate = np.clip(pre, 0, 1)
+        z, r = gate[..., :hs], gate[..., hs:]
+        raw = a[..., 2 * hs :] + r * c[..., 2 * hs :]
+        cand = np.clip(raw, -1, 1)
+        kept.append((h, pre, z, r, c[..., 2 * hs :], raw, cand))
+        h = cand + z * (h - cand)
+        states[t] = h
+    logits = np.matmul(states[:, 0], p["out"][0]) + np.matmul(states[::-1, 1], p["out"][1]) + p["bias"]
+    logits -= logits.max(-1, keepdims=True)
+    q = np.exp(logits)
+    q /= q.sum(-1, keepdims=True)
+    weight = _letter[x].astype(kind)
+    weight /= max(1, weight.sum())
+    loss = float(-(weight * np.log(np.maximum(q[:, np.arange(n), y], 1e-30))).sum())
+    q[:, np.arange(n), y] -= 1
+    q *= weight[..., None]
+    g = {key: np.zeros_like(v) for key, v in p.items()}
+    g["bias"] = q.sum((0, 1))
+    g["out"][0] = np.tensordot(states[:, 0], q, ((0, 1), (0, 1)))
+    g["out"][1] = np.tensordot(states[::-1, 1], q, ((0, 1), (0, 1)))
+    outer = np.stack([np.matmul(q, p["out"][0].T), np.matmul(q, p["out"][1].T)[::-1]], 1)
+    dh = np.zeros((2, n, hs), kind)
+    grads = np.empty((steps, 2, n, 3 * hs), kind)
+    for t in range(steps - 1, -1, -1):
+        h, pre, z, r, c_n, raw, cand = kept[t]
+        dh = dh + outer[t]
+        dn = dh * (1 - z) * (np.abs(raw) < 1)
+        live = 0.25 * ((pre > 0) & (pre < 1))
+        d = np.concatenate([dh * (h - cand) * live[..., :hs], dn * c_n * live[..., hs:], dn * r], -1)
+        g["state"] += np.matmul(h.transpose(0, 2, 1), d)
+        dh = dh * z + np.matmul(d, p["state"].transpose(0, 2, 1))
+        d[..., 2 * hs :] = dn
+        grads[t] = d
+    flat, by = grads.reshape(-1, 3 * hs), index.reshape(-1)
+    some = np.argsort(by, kind="stable")
+    ids, first = np.unique(by[some], return_index=True)
+    g["table"][ids] = np.add.reduceat(flat[some], first, axis=0)
+    return loss, g
+
+
+def start(n_lang: int, rng: np.random.Generator, hs: int = HIDDEN) -> dict[str, np.ndarray]:
+    return {
         "table": rng.normal(0, 0.3, (512, 3 * hs)).astype(np.float32),
         "state": rng.normal(0, 0.8 / np.sqrt(hs), (2, hs, 3 * hs)).astype(np.float32),
         "out": rng.normal(0, 0.3, (2, hs, n_lang)).astype(np.float32),
         "bias": np.zeros(n_lang, np.float32),
     }
+
+
+def fit(seg: np.ndarray, label: np.ndarray, langs: list[str], epochs: int = EPOCHS, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Net:
+    """Adam over shuffled batches of segments."""
+    rng = np.random.default_rng(seed)
+    p = start(len(langs), rng)
     m = {k: np.zeros_like(v) for k, v in p.items()}
     v2 = {k: np.zeros_like(v) for k, v in p.items()}
     done, total = 0, epochs * max(1, len(seg) // batch)
@@ -119,50 +178,7 @@ def fit(seg: np.ndarray, label: np.ndarray, langs: list[str], epochs: int = EPOC
         order = rng.permutation(len(seg))
         for k in range(max(1, len(seg) // batch)):
             pick = order[k * batch : (k + 1) * batch]
-            x, y = seg[pick].T, label[pick]
-            n = len(pick)
-            index = np.stack([x, x[::-1].astype(np.int64) + 256], 1)  # time, direction, segment
-            h = np.zeros((2, n, hs), np.float32)
-            kept = []
-            states = np.zeros((steps, 2, n, hs), np.float32)
-            for t in range(steps):
-                a, c = p["table"][index[t]], np.matmul(h, p["state"])
-                pre = 0.25 * (a[..., : 2 * hs] + c[..., : 2 * hs]) + 0.5
-                gate = np.clip(pre, 0, 1)
-                z, r = gate[..., :hs], gate[..., hs:]
-                raw = a[..., 2 * hs :] + r * c[..., 2 * hs :]
-                cand = np.clip(raw, -1, 1)
-                kept.append((h, pre, z, r, c[..., 2 * hs :], raw, cand))
-                h = cand + z * (h - cand)
-                states[t] = h
-            logits = np.matmul(states[:, 0], p["out"][0]) + np.matmul(states[::-1, 1], p["out"][1]) + p["bias"]
-            logits -= logits.max(-1, keepdims=True)
-            q = np.exp(logits)
-            q /= q.sum(-1, keepdims=True)
-            q[:, np.arange(n), y] -= 1
-            weight = _letter[x].astype(np.float32)
-            q *= (weight / max(1, weight.sum()))[..., None]
-            g = {key: np.zeros_like(v) for key, v in p.items()}
-            g["bias"] = q.sum((0, 1))
-            g["out"][0] = np.tensordot(states[:, 0], q, ((0, 1), (0, 1)))
-            g["out"][1] = np.tensordot(states[::-1, 1], q, ((0, 1), (0, 1)))
-            outer = np.stack([np.matmul(q, p["out"][0].T), np.matmul(q, p["out"][1].T)[::-1]], 1)
-            dh = np.zeros((2, n, hs), np.float32)
-            grads = np.empty((steps, 2, n, 3 * hs), np.float32)
-            for t in range(steps - 1, -1, -1):
-                h, pre, z, r, c_n, raw, cand = kept[t]
-                dh = dh + outer[t]
-                dn = dh * (1 - z) * (np.abs(raw) < 1)
-                live = 0.25 * ((pre > 0) & (pre < 1))
-                d = np.concatenate([dh * (h - cand) * live[..., :hs], dn * c_n * live[..., hs:], dn * r], -1)
-                g["state"] += np.matmul(h.transpose(0, 2, 1), d)
-                dh = dh * z + np.matmul(d, p["state"].transpose(0, 2, 1))
-                d[..., 2 * hs :] = dn
-                grads[t] = d
-            flat, by = grads.reshape(-1, 3 * hs), index.reshape(-1)
-            some = np.argsort(by, kind="stable")
-            ids, first = np.unique(by[some], return_index=True)
-            g["table"][ids] = np.add.reduceat(flat[some], first, axis=0)
+            _, g = gradients(p, seg[pick].T, label[pick])
             done += 1
             norm = np.sqrt(sum(float((x**2).sum()) for x in g.values()))
             now = rate * min(1, 2 * (1 - done / (total + 1)))
@@ -174,31 +190,46 @@ def fit(seg: np.ndarray, label: np.ndarray, langs: list[str], epochs: int = EPOC
     return Net(langs, p["table"], p["state"], p["out"], p["bias"])
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG) -> Net | None:
+def examples(batches):
+    """Up to ``SEGMENTS_PER_TEXT`` segments of each text, chosen by the text's own hash."""
+    for batch in batches:
+        place, which = [], []
+        for lo, _, data, offsets in slices(batch.column("text")):
+            own, row = segments(data, offsets, TRAIN_SEGMENT)
+            first = np.searchsorted(row, np.arange(len(offsets)))
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                rng = np.random.default_rng(abs(batch.column("place")[lo + i].as_py()))
+                pick = a + rng.permutation(b - a)[:SEGMENTS_PER_TEXT]
+                place += [x.tobytes() for x in own[pick]]
+                which += [lo + i] * len(pick)
+        which = pa.array(which, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("lang").take(which), batch.column("place").take(which), pa.array(place, pa.binary())], names=["lang", "place", "segment"])
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Net | None:
+    """The network, fitted on about ``per_lang`` rows of each of the ``most_langs`` most frequent languages.
+
+    No text is shuffled: the shares, a row a language, are broadcast, tasks cut
+    their own sampled texts into segments, and only those come to the driver, a bounded number.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", FOLDS) != HELD))
-    # One row a language: small whatever the input.
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("share"))
-    table = rows.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("doc_id", "lang", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-    if not table.num_rows:
+    share = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    shares = [(r.lang, per_lang / r.n) for r in share.collect()]
+    if not shares:
+        return None
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    place = F.xxhash64("doc_id", "text")
+    chosen = rows.join(F.broadcast(share), "lang").withColumn("place", place).where(F.pmod(F.col("place"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    cut = chosen.select("lang", "place", "text").mapInArrow(examples, "lang string, place long, segment binary")
+    # Equal rows are the only ties of this order, so the sample is the same whatever the tasks.
+    found = cut.orderBy("place", "lang", "segment").limit(2 * per_lang * SEGMENTS_PER_TEXT * len(shares)).toArrow()
+    if not found.num_rows:
         return None
-    names = table.column("lang").to_pylist()
+    names = found.column("lang").to_pylist()
     langs = sorted(set(names))
-    label = np.array([langs.index(x) for x in names])
-    rng = np.random.default_rng(11)
-    segs, labels = [], []
-    for batch in table.to_batches():
-        data, offsets = buffers(batch.column("text"))
-        own, row = segments(data, offsets, TRAIN_SEGMENT)
-        order = rng.permutation(len(row))
-        nth = np.zeros(len(row), np.int64)
-        by = order[np.argsort(row[order], kind="stable")]
-        start = np.searchsorted(row[by], np.arange(len(offsets) - 1))
-        nth[by] = np.arange(len(row)) - start[row[by]]
-        pick = nth < SEGMENTS_PER_TEXT
-        segs.append(own[pick])
-        labels.append(label[row[pick]])
-        label = label[batch.num_rows :]
-    return fit(np.concatenate(segs), np.concatenate(labels), langs)
+    number = {x: k for k, x in enumerate(langs)}
+    seg = np.frombuffer(b"".join(found.column("segment").to_pylist()), np.uint8).reshape(-1, TRAIN_SEGMENT)
+    return fit(seg, np.array([number[x] for x in names]), langs)
 
 
 def labels_of(batches, net: Net | None):
