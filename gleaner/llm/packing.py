@@ -1,26 +1,34 @@
 """Mixture-controlled packing (deficit round-robin over source queues).
 
 1. Rows are dealt evenly over partitions and tokenised once; a task writes its
-   ids as *lanes*, rows of about ``lane_tokens`` ids (16 bit each) that also
-   say how many tokens of each source the task had before.
-2. Token counts by task and source (no ids are read for them) give the target
-   proportions and, by prefix sums, the deficit with which every task begins:
-   what the tasks before it owe each source. So deficits carry across
-   partitions though lanes are packed side by side.
-3. Each lane fills windows of 1024. All documents must go in, so the share that
-   a queue can hold to the end is its part of what is left; lanes are dealt
-   evenly, so that is the corpus proportion but for chance. Every window adds
-   its share to a queue's deficit, queues are served by deficit, and what is not
-   served is carried to the next window. The deficit owed from earlier
-   partitions comes in a quantum at a time: it never crowds a whole window. The lane's last, partly filled window is cut into
-   sequences whose lengths are powers of two, which need no padding.
+   ids as *lanes*, rows of about ``lane_tokens`` ids (16 bit each).
+2. Token counts by lane and source (no ids are read for them) give the target
+   proportions, those of the corpus where the caller has no others, and, by
+   prefix sums over tasks and the lanes in them, the deficit with which every
+   lane begins: what the lanes before it owe each source. So deficits carry
+   across partitions though lanes are packed side by side.
+3. Each lane fills windows of 1024. A window entitles every queue that has
+   tokens left to its target share; queues are served as their deficit (entitled
+   less served) falls due, and what is not served is carried to the next window. Where a queue
+   is empty the others share its place. The deficit owed from earlier lanes is
+   paid beside, a quarter of a queue's share at a time: it never crowds a whole
+   window. All documents go in, so the last windows of a lane hold what the
+   targets left over. A queue comes up again when its next piece is due, so a
+   window costs what it holds, however many sources there are. The lane's last,
+   partly filled window is cut into sequences whose lengths are powers of two,
+   which need no padding.
 
 Null and empty texts are documents of one token (the closing id 0); a null
-source is the queue ``''``; repeated rows are packed as often as they stand.
+source is the queue ``''``; a source without target comes last in its lane;
+repeated rows are packed as often as they stand; ties go by the lane's order of
+sources; a very long text is a lane of its own size; an empty table gives an empty
+result. Only ``doc_id``, ``text`` and ``source`` are read, so further columns do not clash.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import zlib
 
 import numpy as np
@@ -35,10 +43,12 @@ WINDOW = 1024
 LANE_TOKENS = 1 << 20
 #: A queue waits until its deficit is worth a piece of this many tokens.
 MIN_PIECE = 32
+#: What is owed from earlier lanes is paid at this part of a queue's share.
+REPAY = 0.25
 #: Distinct words whose ids a worker remembers; beyond, it forgets all and begins again.
 CACHE_WORDS = 1 << 20
 
-LANES = "part int, lane long, doc_ids array<long>, queues array<int>, lens array<long>, names array<string>, counts array<long>, before array<long>, ids binary"
+LANES = "part int, lane long, doc_ids array<long>, queues array<int>, lens array<long>, names array<string>, counts array<long>, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -154,29 +164,23 @@ def lanes_of(batches, path: str | None, lane_tokens: int):
     """Tokenise a partition and give it out as lanes."""
     bpe, part = encoder(path), TaskContext.get().partitionId()
     names: dict[str, int] = {}
-    seen: list[int] = []
     docs, queues, ids, held, k = [], [], [], 0, 0
 
     def flush():
-        nonlocal docs, queues, ids, held, k
+        nonlocal names, docs, queues, ids, held, k
         lens = [len(x) for x in ids]
         counts = np.bincount(queues, weights=lens, minlength=len(names)).astype(np.int64)
-        row = {"part": [part], "lane": [k], "doc_ids": [docs], "queues": [queues], "lens": [lens], "names": [list(names)], "counts": [counts.tolist()], "before": [list(seen)], "ids": [np.concatenate(ids).tobytes()]}
+        row = {"part": [part], "lane": [k], "doc_ids": [docs], "queues": [queues], "lens": [lens], "names": [list(names)], "counts": [counts.tolist()], "ids": [np.concatenate(ids).tobytes()]}
         out = pa.RecordBatch.from_pydict(row, schema=LANE_SCHEMA)
-        seen[:] = (np.array(seen, np.int64) + counts).tolist()
-        docs, queues, ids, held, k = [], [], [], 0, k + 1
+        names, docs, queues, ids, held, k = {}, [], [], [], 0, k + 1
         return out
 
     for batch in batches:
         doc_id, source = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
         for lo, hi, data, offsets in slices(batch.column("text")):
             for i, x in zip(range(lo, hi), bpe.encode(data, offsets)):
-                s = source[i] or ""
-                if s not in names:
-                    names[s] = len(names)
-                    seen.append(0)
                 docs.append(doc_id[i])
-                queues.append(names[s])
+                queues.append(names.setdefault(source[i] or "", len(names)))
                 ids.append(np.append(x, np.uint16(0)))
                 held += len(x) + 1
                 if held >= lane_tokens:
@@ -185,57 +189,72 @@ def lanes_of(batches, path: str | None, lane_tokens: int):
         yield flush()
 
 
-LANE_SCHEMA = pa.schema([("part", pa.int32()), ("lane", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("queues", pa.list_(pa.int32())), ("lens", pa.list_(pa.int64())), ("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("before", pa.list_(pa.int64())), ("ids", pa.binary())])
+LANE_SCHEMA = pa.schema([("part", pa.int32()), ("lane", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("queues", pa.list_(pa.int32())), ("lens", pa.list_(pa.int64())), ("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
-def fill(queues: np.ndarray, lens: np.ndarray, share: np.ndarray, deficit: np.ndarray, window: int = WINDOW, min_piece: int = MIN_PIECE):
-    """Deficit round-robin over one lane: yields windows, lists of (document, start, length)."""
-    waiting = [np.flatnonzero(queues == s).tolist() for s in range(len(share))]
-    left = [int(lens[w].sum()) for w in waiting]
-    head, done = [0] * len(share), [0] * len(share)
-    owed = deficit.astype(float).tolist()
-    deficit = [0.0] * len(share)
-    active = [s for s in range(len(share)) if left[s]]
-    rest_of_lane = sum(left)
+def fill(queues: np.ndarray, lens: np.ndarray, share: np.ndarray, owed: np.ndarray, window: int = WINDOW, min_piece: int = MIN_PIECE):
+    """Deficit round-robin over one lane: yields windows, lists of (document, start, length).
+
+    ``clock`` runs so that the queues with tokens left are entitled to one window
+    more in every window; a queue's deficit is what it is entitled to, less what it was served.
+    """
+    order = np.argsort(queues, kind="stable")
+    edge = np.searchsorted(queues[order], np.arange(len(share) + 1))
+    left = np.bincount(queues, weights=lens, minlength=len(share)).astype(np.int64).tolist()
+    head, done, served = edge[:-1].tolist(), [0] * len(share), [0] * len(share)
+    order, sizes, share, owed = order.tolist(), lens.tolist(), share.tolist(), owed.tolist()
+
+    def entitled(s: int, clock: float) -> float:
+        return share[s] * clock + math.copysign(min(abs(owed[s]), REPAY * share[s] * clock), owed[s])
+
+    def due(s: int) -> tuple[float, int]:
+        """When the queue's next piece is worth serving."""
+        if share[s] <= 0:
+            return math.inf, s
+        want = served[s] + min(min_piece, left[s])
+        repaid = abs(owed[s]) / (REPAY * share[s])
+        early = want / (share[s] * (1 + math.copysign(REPAY, owed[s])))
+        return (early if early <= repaid else (want - owed[s]) / share[s]), s
 
     def serve(s: int, n: int, out: list) -> None:
-        deficit[s] -= n
+        served[s] += n
         left[s] -= n
         while n:
-            d = waiting[s][head[s]]
-            take = min(n, int(lens[d]) - done[s])
-            out.append((d, done[s], take))
+            d = order[head[s]]
+            take = min(n, sizes[d] - done[s])
+            if out and out[-1][0] == d:
+                out[-1] = (d, out[-1][1], out[-1][2] + take)
+            else:
+                out.append((d, done[s], take))
             n -= take
             done[s] += take
-            if done[s] == lens[d]:
+            if done[s] == sizes[d]:
                 head[s] += 1
                 done[s] = 0
 
-    while active:
+    waiting = [due(s) for s in range(len(share)) if left[s]]
+    heapq.heapify(waiting)
+    live = sorted(share[s] for _, s in waiting)
+    targeted, live = sum(x > 0 for x in live), math.fsum(live)
+    clock = 0.0
+    while waiting:
         out: list = []
         room = window
-        for s in active:
-            quantum = window * left[s] / rest_of_lane
-            paid = max(-quantum / 4, min(quantum / 4, owed[s]))
-            owed[s] -= paid
-            deficit[s] += quantum + paid
-        for s in sorted(active, key=deficit.__getitem__, reverse=True):
-            n = min(int(deficit[s]), room, left[s]) if deficit[s] > 0 else 0
-            if n and (n >= min_piece or n == left[s] or n == room):
-                serve(s, n, out)
-                room -= n
-                if not room:
-                    break
-        while room:
-            rest = [s for s in active if left[s]]
-            if not rest:
-                break
-            s = max(rest, key=deficit.__getitem__)
-            n = min(room, left[s], max(min_piece, int(deficit[s])))
+        if targeted:
+            clock += window / live
+        # What is due goes first; where less is due than the window holds, the next ones come early.
+        while room and waiting:
+            s = heapq.heappop(waiting)[1]
+            quantum = window / live * share[s] * (1 + REPAY)
+            n = max(min_piece, min(int(entitled(s, clock)) - served[s], math.ceil(quantum))) if share[s] > 0 else room
+            n = min(n, room, left[s])
             serve(s, n, out)
             room -= n
-        rest_of_lane -= window - room
-        active = [s for s in active if left[s]]
+            if left[s]:
+                heapq.heappush(waiting, due(s))
+            elif share[s] > 0:
+                targeted -= 1
+                live = max(live - share[s], 1e-12)
         yield out
 
 
@@ -266,12 +285,10 @@ def pieces_of(batches, window: int, min_piece: int):
         for row in batch.to_pylist():
             ids, lens, queues = np.frombuffer(row["ids"], np.uint16).astype("<u4"), np.array(row["lens"], np.int64), np.array(row["queues"])
             at = np.cumsum(lens) - lens
-            known = {n: (p, d) for n, p, d in zip(row["targets"] or [], row["shares"] or [], row["owed"] or [])}
-            share = np.array([known[n][0] for n in row["names"]])
-            before = np.array(row["before"], float)
-            deficit = np.array([known[n][1] for n in row["names"]]) + share * before.sum() - before
+            known = {n: (p, d) for n, p, d in zip(row["targets"], row["shares"], row["owed"])}
+            share, owed = (np.array([known[n][k] for n in row["names"]], float) for k in (0, 1))
             cols: list[list] = [[] for _ in PIECE_SCHEMA]
-            for k, seq in enumerate(sequences(fill(queues, lens, share, deficit, window, min_piece), window)):
+            for k, seq in enumerate(sequences(fill(queues, lens, share, owed, window, min_piece), window)):
                 offset = 0
                 for d, start, n in seq:
                     a = int(at[d]) + start
@@ -281,25 +298,43 @@ def pieces_of(batches, window: int, min_piece: int):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PIECE_SCHEMA)], schema=PIECE_SCHEMA)
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, lane_tokens: int = LANE_TOKENS, min_piece: int = MIN_PIECE) -> DataFrame:
+def lane_deficits(counts: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """part, lane, and lists targets (names), shares, owed of the lane's own sources.
+
+    ``counts``: part, lane, name, n. Prefix sums run over the lanes of a task and
+    over tasks, so no window holds more rows than a source has tasks, or a task lanes.
+    """
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    sum_of = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    if targets is None:
+        total = counts.agg(F.sum("n").alias("all"))
+        shares = counts.groupBy("name").agg(F.sum("n").alias("of_name")).crossJoin(F.broadcast(total)).select("name", (F.col("of_name") / F.col("all")).alias("share"))
+    else:
+        asked = targets.groupBy(F.coalesce("name", F.lit("")).alias("name")).agg(F.sum(F.greatest(F.col("share"), F.lit(0.0))).cast("double").alias("asked"))
+        shares = asked.crossJoin(F.broadcast(asked.agg(F.sum("asked").alias("all")))).where("all > 0").select("name", (F.col("asked") / F.col("all")).alias("share"))
+    of_part = counts.groupBy("part", "name").agg(F.sum("n").alias("n"))
+    of_part = of_part.withColumn("part_mine", sum_of("n", before("name").orderBy("part"))).drop("n")
+    # One row a task, then one row a lane: small whatever the input.
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n")).withColumn("part_all", sum_of("n", before().orderBy("part"))).drop("n")
+    lanes = counts.groupBy("part", "lane").agg(F.sum("n").alias("n")).withColumn("lane_all", sum_of("n", before("part").orderBy("lane"))).drop("n")
+    rows = counts.withColumn("lane_mine", sum_of("n", before("part", "name").orderBy("lane")))
+    rows = rows.join(of_part, ["part", "name"]).join(parts, "part").join(lanes, ["part", "lane"]).join(shares, "name", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    owed = F.col("share") * (F.col("part_all") + F.col("lane_all")) - (F.col("part_mine") + F.col("lane_mine"))
+    grouped = rows.groupBy("part", "lane").agg(F.collect_list(F.struct("name", "share", owed.alias("owed"))).alias("q"))
+    return grouped.select("part", "lane", F.col("q.name").alias("targets"), F.col("q.share").alias("shares"), F.col("q.owed").alias("owed"))
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDOW, lane_tokens: int = LANE_TOKENS, min_piece: int = MIN_PIECE, targets: DataFrame | None = None) -> DataFrame:
     """Pieces of all documents (``doc_id``, ``text``, ``source``) in sequences of at most ``window`` tokens.
 
-    A lane holds up to ``lane_tokens`` ids and one document more; sequence ids
-    leave 24 bits for the sequences of a lane, 20 for the lanes of a task.
+    ``targets`` (``name``, ``share``) gives the mixture of sources that windows
+    follow while their queues last; without it windows follow the corpus. A lane
+    holds up to ``lane_tokens`` ids and one document more; sequence ids leave 24
+    bits for the sequences of a lane, 20 for the lanes of a task.
     """
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.monotonically_increasing_id().alias("_row")).repartition(F.xxhash64("_row")).drop("_row")
     lanes = materialize(dealt.mapInArrow(lambda it: lanes_of(it, tokenizer_path, lane_tokens), LANES), "lanes")
-    counts = lanes.select("part", F.explode(F.arrays_zip("names", "counts")).alias("x")).groupBy("part", F.col("x.names").alias("name")).agg(F.sum("x.counts").alias("n"))
-    counts = materialize(counts, "lane-counts")
-    parts = counts.groupBy("part").agg(F.sum("n").alias("n"))
-    # One row a task: the prefix sums over tasks are small whatever the input.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("all_before"))
-    total = counts.agg(F.sum("n").alias("all"))
-    own = Window.partitionBy("name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shares = counts.groupBy("name").agg(F.sum("n").alias("of_name")).join(total).select("name", (F.col("of_name") / F.col("all")).alias("share"))
-    owed = counts.withColumn("mine", F.coalesce(F.sum("n").over(own), F.lit(0))).join(parts, "part").join(shares, "name")
-    owed = owed.withColumn("owed", F.col("share") * F.col("all_before") - F.col("mine")).groupBy("part").agg(F.collect_list(F.struct("name", "share", "owed")).alias("q"))
-    owed = materialize(owed.select("part", F.col("q.name").alias("targets"), F.col("q.share").alias("shares"), F.col("q.owed").alias("owed")), "lane-deficits")
-    ready = lanes.join(owed, "part").select("part", "lane", "doc_ids", "queues", "lens", "names", "before", "ids", "targets", "shares", "owed")
+    counts = materialize(lanes.select("part", "lane", F.explode(F.arrays_zip("names", "counts")).alias("x")).select("part", "lane", F.col("x.names").alias("name"), F.col("x.counts").alias("n")), "lane-counts")
+    owed = materialize(lane_deficits(counts, targets), "lane-deficits")
+    ready = lanes.join(owed, ["part", "lane"]).select("part", "lane", "doc_ids", "queues", "lens", "names", "ids", "targets", "shares", "owed")
     return ready.mapInArrow(lambda it: pieces_of(it, window, min_piece), PIECES)
