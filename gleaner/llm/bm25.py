@@ -8,18 +8,20 @@ that blocks of ``BLOCK`` documents are alike. Nothing is shuffled to build it.
 Search: queries go out in blocks of at most ``QUERY_TERMS`` terms, which bounds
 what is broadcast. One pass sums the document frequencies of the block's terms
 over all shards; with them, the number of documents and the mean length, all
-global, a second pass scores. Terms in an eighth of a shard or more have dense
-impact columns and a maximum for every block. For a query, the other terms'
-postings are accumulated; documents with the best partial sums are scored in full,
-and their k-th score is the threshold; a document is scored only if its partial sum
-and its block's maxima can reach it. The threshold carries over a task's
-shards, and the tasks' best are merged by a window, so the result is that of
-scoring everything.
+global, a second pass scores by block-max WAND: posting lists are in document order
+and cut at every ``BLOCK`` documents, each posting block has its largest impact,
+and the sum of a document block's maxima bounds the scores in it. Blocks that
+reach the threshold are the pivots; the postings of others are never read.
+Pivots are found and scored by array operations, a number of blocks at a time, and the
+threshold, the k-th score so far, rises with each step and carries over a task's shards.
+The tasks' best are merged by a window, so the result is that of scoring everything.
 
 score = sum over terms of qtf * ln(1 + (N - n + .5) / (n + .5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)).
 Only documents with a query term are results; ties go to the smaller doc_id, after
 rounding to 6 decimals. Null or empty texts match nothing; rows with equal ids are
-separate documents and separate queries.
+separate documents and separate queries; a null id comes before all others. Texts
+count whole, however long; an empty table gives an empty result. Only the id and
+``text`` are read, so further columns do not clash.
 """
 
 from __future__ import annotations
@@ -37,7 +39,6 @@ from gleaner.llm.decontam import tokens
 K1, B = 1.2, 0.75
 SHARD_BYTES, SHARD_DOCS = 12 << 20, 1 << 15
 BLOCK = 32
-DENSE = 1 / 8
 QUERY_TERMS = 2 << 20
 TOP = 10
 
@@ -129,56 +130,91 @@ def df_of(batches, vocab: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([some, [-1, -2]])), pa.array(np.concatenate([df[some], [n, words]]))], names=["term", "n"])
 
 
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. for count[0] places, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class Shard:
+    """Postings of a shard in document order, cut into blocks at the same documents for all terms, with the largest impact of each."""
+
     def __init__(self, row: dict, vocab: np.ndarray, mean: float):
         self.ids = row["ids"]
         lens, terms, counts = np.frombuffer(row["lens"], np.int32), np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32)
-        docs, tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32).astype(float)
+        docs, tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32)
         self.n = len(lens)
-        # Only the block's terms are kept.
+        self.n_blocks = -(-self.n // BLOCK)
+        # Only the query block's terms are kept.
         pos = np.minimum(np.searchsorted(terms, vocab), max(0, len(terms) - 1))
         there = np.flatnonzero(terms[pos] == vocab) if len(terms) else np.zeros(0, np.int64)
-        start = (np.cumsum(counts) - counts)[pos[there]].astype(np.int64)
         count = counts[pos[there]].astype(np.int64)
-        edge = np.cumsum(count) - count
-        take = np.repeat(start - edge, count) + np.arange(int(count.sum()))
+        take = ranges((np.cumsum(counts) - counts)[pos[there]].astype(np.int64), count)
         self.docs = docs[take]
-        tf = tfs[take]
+        tf = tfs[take].astype(float)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.docs] / mean))
-        self.start, self.count = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-        self.start[there], self.count[there] = edge, count
-        dense = np.flatnonzero(self.count >= max(2, DENSE * self.n))
-        self.column = np.full(len(vocab), -1)
-        self.column[dense] = np.arange(len(dense))
-        blocks = -(-self.n // BLOCK)
-        self.matrix = np.zeros((blocks * BLOCK, len(dense)))
-        for c, t in enumerate(dense):
-            s = slice(self.start[t], self.start[t] + self.count[t])
-            self.matrix[self.docs[s], c] = self.impact[s]
-        self.most = self.matrix.reshape(blocks, BLOCK, len(dense)).max(1)
-        self.block = np.arange(self.n) // BLOCK
+        # Posting blocks: where they begin, their place among the documents, their largest impact.
+        place = self.docs // BLOCK
+        of = np.repeat(np.arange(len(there)), count)
+        new = np.append(True, (place[1:] != place[:-1]) | (of[1:] != of[:-1]))[: len(place)]
+        self.begin = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.begin, len(place)))
+        self.place = place[self.begin]
+        self.most = np.maximum.reduceat(self.impact, self.begin) if len(self.begin) else np.zeros(0)
+        # Each term's posting blocks.
+        self.first, self.blocks = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+        self.blocks[there] = np.bincount(of[self.begin], minlength=len(there))
+        self.first[there] = np.cumsum(self.blocks[there]) - self.blocks[there]
+        #: Posting blocks of the queries so far, and those whose postings were read.
+        self.met = self.read = 0
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of what may be among the k best, given that k documents elsewhere have ``floor``."""
-        column = self.column[terms]
-        dense = column >= 0
-        n = np.where(dense, 0, self.count[terms])
-        partial = np.zeros(self.n)
-        if total := int(n.sum()):
-            take = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(total)
-            partial = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights, n), self.n)
-        columns, w = column[dense], weights[dense]
-        if not len(columns):
-            pick = np.flatnonzero(partial >= max(floor - 1e-5, 1e-12))
-            return pick, partial[pick]
-        full = np.zeros(self.matrix.shape[1])
-        full[columns] = w
-        bound = partial + (self.most @ full)[self.block]
-        if self.n > 4 * k:
-            seed = np.argpartition(-bound, 2 * k)[: 2 * k]
-            floor = max(floor, np.partition(partial[seed] + self.matrix[seed] @ full, -k)[-k])
-        pick = np.flatnonzero(bound >= floor - 1e-5)
-        score = partial[pick] + self.matrix[pick] @ full
+        """Documents and scores of what may be among the k best, given that k documents elsewhere have ``floor``.
+
+        Block-max WAND, a document block at a time: the sum of a block's maxima
+        bounds its documents. Blocks that reach the threshold are pivots and
+        scored from their postings, the most promising ones first, then the others in
+        document order, more of them in each step; every step raises the threshold, and the cursors pass
+        over the posting blocks of a document block that stays below it.
+        """
+        n = self.blocks[terms]
+        entry = ranges(self.first[terms], n)
+        if not len(entry):
+            return np.zeros(0, np.int64), np.zeros(0)
+        weight = np.repeat(weights, n)
+        place = self.place[entry]
+        bound = np.bincount(place, self.most[entry] * weight, self.n_blocks)
+        self.met += len(entry)
+        picks, scores = [], []
+        best = np.zeros(0)
+        open_ = bound > 0
+        step = max(2, -(-2 * k // BLOCK))
+        seeds = np.argpartition(-bound, step - 1)[:step] if self.n_blocks > step else np.arange(self.n_blocks)
+        chosen = seeds
+        cursor = 0
+        while len(chosen):
+            pivot = np.zeros(self.n_blocks, bool)
+            pivot[chosen] = True
+            open_[chosen] = False
+            live = np.flatnonzero(pivot[place])
+            now, size = entry[live], self.size[entry[live]]
+            posting = ranges(self.begin[now], size)
+            docs = self.docs[posting]
+            full = np.bincount(docs, self.impact[posting] * np.repeat(weight[live], size), self.n)
+            self.read += len(now)
+            doc = np.flatnonzero(full > 0)
+            doc = doc[full[doc] >= floor - 1e-5]
+            picks.append(doc)
+            scores.append(full[doc])
+            best = np.concatenate([best, full[doc]])
+            if len(best) >= k:
+                best = np.partition(best, -k)[-k:]
+                floor = max(floor, best.min())
+            # The next pivots in document order.
+            ahead = np.flatnonzero(open_[cursor:] & (bound[cursor:] >= floor - 1e-5))[:step] + cursor
+            cursor = int(ahead[-1]) + 1 if len(ahead) else self.n_blocks
+            chosen = ahead
+            step *= 4
+        pick, score = np.concatenate(picks), np.concatenate(scores)
         ok = score >= max(floor - 1e-5, 1e-12)
         return pick[ok], score[ok]
 
@@ -213,10 +249,8 @@ def smallest(score: np.ndarray, ids: list, k: int) -> list[int]:
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, query_terms: int = QUERY_TERMS) -> DataFrame:
     """query_id, rank, doc_id, score: the k best of ``docs`` (doc_id, text) for each of ``queries`` (query_id, text)."""
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).alias("text")
     index = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(shards_of, SHARD), "shards")
-    index = index.coalesce(max(1, spark.sparkContext.defaultParallelism))
     vectors = materialize(queries.select(F.col("query_id").cast("long").alias("query_id"), text).mapInArrow(vectors_of, "query_id long, terms binary, counts binary"), "queries")
     parts: list[DataFrame] = []
 
