@@ -7,14 +7,17 @@ additive model over quantile bins of the style features minimises
     prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))
 
 with the logistic loss, so its sigmoid is the probability of quality 1. The
-class prior is estimated from the same two samples: the smallest ratio of
-unlabelled to positive mass over regions that a first, unweighted model ranks
-as most alike the positives.
-
-The samples are at most ``POSITIVES`` and ``UNLABELLED`` rows outside the held-out
-fold. Scoring runs over all documents, whole texts, in one pass without a
-shuffle. Null and empty texts get the score of an empty text; a null id is not held out. With
-fewer than ``LEAST`` trusted positives every score is 0.5.
+class prior is estimated as the smallest ratio of unlabelled to positive mass over
+regions that a first, unweighted model ranks as most alike the positives; the
+unlabelled mass is counted over all documents outside the held-out fold.
+
+The samples that the models are fitted on are at most ``POSITIVES`` and ``UNLABELLED``
+rows outside the held-out fold. Scoring runs over all documents, whole texts, in one
+pass without a shuffle. Null and empty texts get the score of an empty text; a null id
+is not held out; a label other than 0 and 1 is none. Repeated rows get equal scores, and
+count as often as they stand; equal values share a bin, so ties get equal scores. An
+empty table gives an empty result; only ``doc_id``, ``text`` and the label are read, so further
+columns do not clash. With fewer than ``LEAST`` trusted positives every score is 0.5.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gleaner.llm.common import remainder, slices
 from gleaner.llm.gbt import binned, sigmoid
-from gleaner.llm.style import labelled, style
+from gleaner.llm.style import labelled, sampled, style
 from gleaner.llm.toxicity import score_documents
 
 POSITIVES, UNLABELLED = 6000, 9000
@@ -90,23 +93,46 @@ def fit_pu(xp: np.ndarray, xu: np.ndarray, prior: float | None, steps: int = 400
     return Additive(edges, w[:-1].reshape(-1, width), float(w[-1]))
 
 
-def estimate_prior(xp: np.ndarray, xu: np.ndarray, least: float = 0.3) -> float:
-    """Smallest unlabelled-to-positive ratio over top regions holding ``least`` of the positives or more, by cross-fitting."""
-    mp, mu = np.zeros(len(xp)), np.zeros(len(xu))
-    fp, fu = np.arange(len(xp)) % 2, np.arange(len(xu)) % 2
-    for k in (0, 1):
-        net = fit_pu(xp[fp != k], xu[fu != k], None, steps=200)
-        mp[fp == k], mu[fu == k] = net.margin(xp[fp == k]), net.margin(xu[fu == k])
+def fold_of(doc_id: np.ndarray) -> np.ndarray:
+    return ((doc_id.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & 1
+
+
+def masses(batches, nets: list[Additive], cuts: np.ndarray):
+    """Rows at or above each cut by the network that has not seen them, and as cut -1 all rows."""
+    above, total = np.zeros(len(cuts), np.int64), 0
+    for batch in batches:
+        fold = fold_of(batch.column("doc_id").to_numpy())
+        for lo, hi, data, offsets in slices(batch.column("text")):
+            x = style(data, offsets)
+            margin = np.where(fold[lo:hi] == 0, nets[0].margin(x), nets[1].margin(x))
+            above += (margin[:, None] >= cuts).sum(0)
+            total += hi - lo
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(cuts))), pa.array(np.append(total, above))], names=["cut", "n"])
+
+
+def estimate_prior(docs: DataFrame, p: pa.Table, u: pa.Table, xp: np.ndarray, xu: np.ndarray, modulus: int, held: int, least: float = 0.3) -> float:
+    """Smallest unlabelled-to-positive ratio over top regions holding ``least`` of the positives or more, by cross-fitting.
+
+    The regions are ranked by networks of the two samples; the unlabelled mass of
+    each is counted over all documents outside the held-out fold.
+    """
+    fp, fu = fold_of(p.column("doc_id").to_numpy()), fold_of(u.column("doc_id").to_numpy())
+    if min((fp == 0).sum(), (fp == 1).sum(), (fu == 0).sum(), (fu == 1).sum()) < 1:
+        fp, fu = np.arange(len(xp)) % 2, np.arange(len(xu)) % 2
+    nets = [fit_pu(xp[fp != k], xu[fu != k], None, steps=200) for k in (0, 1)]
+    mp = np.where(fp == 0, nets[0].margin(xp), nets[1].margin(xp))
     cuts = np.quantile(mp, np.linspace(0.01, 1 - least, 60))
-    ratio = [(mu >= c).mean() / (mp >= c).mean() for c in cuts]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held))
+    found = {r.cut: r.n for r in rows.mapInArrow(lambda it: masses(it, nets, cuts), "cut long, n long").groupBy("cut").agg(F.sum("n").alias("n")).collect()}
+    total = max(1, found.get(-1, 0))
+    ratio = [found.get(k, 0) / total / max((mp >= c).mean(), 1e-9) for k, c in enumerate(cuts)]
     return float(np.clip(np.min(ratio), 0.05, 0.98))
 
 
 def unlabelled(docs: DataFrame, modulus: int, held: int, most: int) -> pa.Table:
     """Up to ``most`` rows, the first by hash of the id, none held out; at most that many ids are broadcast."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != held)).orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(most).distinct()
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    return found.limit(2 * most).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return sampled(docs, ids, most)
 
 
 def table_style(table: pa.Table) -> np.ndarray:
@@ -119,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, sample
     if min(p.num_rows, u.num_rows) < LEAST:
         return Model(None, 0.5)
     xp, xu = table_style(p), table_style(u)
-    prior = estimate_prior(xp, xu)
+    prior = estimate_prior(docs, p, u, xp, xu, FOLDS, HELD)
     return Model(fit_pu(xp, xu, prior), prior)
 
 

@@ -71,12 +71,18 @@ def style(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int, only: int | None = None) -> pa.Table:
     """Up to ``most`` labelled rows (text, label), the first by hash of the id, none held out.
 
-    The ids are at most ``most`` longs, so broadcasting them is bounded.
+    Labels other than 0 and 1 are no labels. The ids are at most ``most`` longs, so
+    broadcasting them is bounded; where ids repeat, the first 2 * ``most`` rows by hash of id and text are taken.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (remainder("doc_id", modulus) != held))
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (remainder("doc_id", modulus) != held))
     if only is not None:
         rows = rows.where(F.col("label") == only)
-    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id", "label").limit(most)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
-    table = found.limit(2 * most).toArrow()
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit(label)), "doc_id", "label").limit(most).distinct()
+    return sampled(docs, rows, most)
+
+
+def sampled(docs: DataFrame, ids: DataFrame, most: int) -> pa.Table:
+    """The rows of ``docs`` with one of ``ids``, 2 * ``most`` at most: a total order decides, whatever the tasks."""
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    first = found.orderBy(F.xxhash64("doc_id", "text"), *(c for c in found.columns if c != "text"), "text").limit(2 * most)
+    return first.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])

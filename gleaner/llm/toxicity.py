@@ -9,7 +9,10 @@ disguises undone. It is learned, like the trees and the calibration, from at
 most ``SAMPLE`` labelled rows outside the held-out fold. Scoring runs over all
 documents, whole texts, in one pass without a shuffle.
 
-Null and empty texts get the score of an empty text; a null id is not held out.
+Null and empty texts get the score of an empty text; a null id is not held out; a
+label other than 0 and 1 is none. Repeated rows get equal scores, and count as often as
+they stand; the calibration gives equal margins one score. An empty table gives an empty
+result; only ``doc_id``, ``text`` and the label are read, so further columns do not clash.
 With fewer than ``LEAST`` labelled rows of either kind all scores are the base rate.
 """
 
