@@ -56,6 +56,8 @@ FINENESS = (0.32, math.inf)
 PAIRS_A_COPY = 64
 #: Shingles of texts that a verifying task keeps at hand.
 CACHED = 1 << 21
+#: Links whose components one task finds.
+ONE_TASK = 1 << 19
 #: Copies of the fewer side where what is left is compared.
 SALTS = 16
 TAG_BITS = 28
@@ -310,18 +312,43 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     ``PAIRS_A_COPY`` pairs, and copies are joined under keys of their own, so none is a hot key.
     """
     pairs = materialize(pairs.where("a != b").select("a", "b").distinct(), "pairs")
-    found = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), docs, classes)
-    for side in "ab":
-        copies = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies")).where("copies > 1")
-        texts = found.select(F.col("fp").alias(side), F.col("text").alias(f"{side}_text")).join(copies, side, "left")
-        texts = texts.select(side, f"{side}_text", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-        other = "b" if side == "a" else "a"
-        pairs = pairs.join(copies, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies").join(texts, [side, "copy"]).drop("copy")
+    copies = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_COPY).cast("int").alias("copies"))
+    copies = materialize(copies, "copies")
+    many = copies.where("copies > 1")
+    found = texts_of(copies.select("fp"), docs, classes)
+    found = found.join(many, "fp", "left").select("fp", "text", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    for side, other in ("ab", "ba"):
+        own = pairs.join(many.withColumnRenamed("fp", side), side, "left")
+        own = own.withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+        pairs = own.join(found.select(F.col("fp").alias(side), F.col("text").alias(f"{side}_text"), "copy"), [side, "copy"]).drop("copy")
     return materialize(pairs.select("a", "b", "a_text", "b_text").mapInArrow(verified, "a long, b long"), "links")
 
 
+def joined_sets(batches):
+    """fp, label of all links of one task, by union and find."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in parent], pa.int64())], names=["fp", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """fp, label: the smallest class reachable, for every class that has a link."""
+    """fp, label: the smallest class reachable, for every class that has a link.
+
+    Up to ``ONE_TASK`` links are joined by a single task; more by propagation of labels.
+    """
+    if links.count() <= ONE_TASK:
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(joined_sets, "fp long, label long"), "labels")
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialize(edges.groupBy(F.col("a").alias("fp")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
@@ -343,13 +370,11 @@ def open_rows(rows: DataFrame, links: DataFrame, least: Least) -> DataFrame:
     parts hides nothing, nor does a part without a smaller and a larger class.
     """
     rows = rows.join(components(links), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    for _ in range(2):
-        own = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("n"), F.first("room").alias("room"), F.first("size").alias("size"))
-        own = own.select("fp", "band", "n", (F.col("n") >= least.as_small()).alias("small"), (F.col("n") >= least.as_large()).alias("large")).where("small or large")
-        rows = rows.drop("n", "small", "large").join(own, ["fp", "band"])
-        some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("s"), F.max("large").alias("l")).where("lo != hi and s and l").select("key")
-        rows = materialize(rows.join(some, "key", "left_semi"), "open")
-    return rows
+    own = rows.groupBy("fp", "band").agg(F.count(F.lit(1)).alias("n"), F.first("room").alias("room"), F.first("size").alias("size"))
+    own = own.select("fp", "band", "n", (F.col("n") >= least.as_small()).alias("small"), (F.col("n") >= least.as_large()).alias("large")).where("small or large")
+    rows = rows.join(own, ["fp", "band"])
+    some = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("small").alias("s"), F.max("large").alias("l")).where("lo != hi and s and l").select("key")
+    return materialize(rows.join(some, "key", "left_semi"), "open")
 
 
 def first_shared(rest: DataFrame, shared: Column) -> DataFrame:
