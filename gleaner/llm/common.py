@@ -8,43 +8,28 @@ cost per byte is a few array passes and memory does not follow the batch size.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleaner.session import stored
+
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
-_own_dirs: dict[str, str] = {}
-
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        where = _own_dirs.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="gleaner-")
-        _own_dirs[app] = where
-    return where
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
