@@ -14,8 +14,30 @@ TERM = r"[\p{L}\p{N}\p{Co}]+"
 # Letters with a diacritic of the Latin-1 block and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
-#: White space that str.strip() takes and the engine's own trim does not.
-_EDGE = r"^[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$"
+# White space that str.strip() takes, and what of it Unicode calls white space (the separators below U+0020 are none).
+BLANKS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+EDGES = BLANKS + "\x1c\x1d\x1e\x1f"
+# How addresses are spelled out, and what their parts hold.
+AT_WORDS, DOT_WORDS = "at chez", "dot point"
+LOCAL_CHARS, LABEL_CHARS = "A-Za-z0-9._%+-", "A-Za-z0-9-"
+# How phone numbers begin, what may stand after a digit, and how many digits follow.
+PHONE_STARTS, PHONE_GAPS, PHONE_LEAST, PHONE_DIGITS = "+33 0", "().-", 8, 10
+
+_line_end = "[" + BLANKS.replace("\n", "") + "]+(?=\n|\\z)"
+_gap = f"[{EDGES}]+"
+
+
+def _folds() -> tuple[str, str]:
+    """Latin letters with one diacritic and their base letters; at the end, to be deleted, the combining marks themselves."""
+    letters, bases = ACCENTED, FOLDED
+    for code in [*range(0x100, 0x250), *range(0x1E00, 0x1F00)]:
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) == 2 and parts[0].isascii() and chr(code) == chr(code).lower():
+            letters, bases = letters + chr(code), bases + parts[0]
+    return letters + "".join(map(chr, range(0x300, 0x370))), bases
+
+
+_MARKED, _BARE = _folds()
 
 
 def column(x) -> Column:
@@ -23,13 +45,18 @@ def column(x) -> Column:
 
 
 def strip(x) -> Column:
-    return F.regexp_replace(column(x), _EDGE, "")
+    return F.btrim(column(x), F.lit(EDGES))
 
 
 def normalized_content(x) -> Column:
-    """Line ends as \\n, no white space at line ends, at most one blank line in a row, stripped. Input is taken to be NFC (see ``nfc``)."""
-    lines = F.regexp_replace(F.regexp_replace(column(x), r"\r\n?", "\n"), r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
-    return strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+    """In NFC, line ends as \\n, no white space at line ends, at most one blank line in a row, stripped.
+
+    Each pass runs only on texts that need it, which a plain search tells.
+    """
+    text = composed(x)
+    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
+    text = F.when(text.rlike(f"[{BLANKS.replace(chr(10), '')}]\n"), F.regexp_replace(text, _line_end, "")).otherwise(text)
+    return strip(F.when(F.contains(text, F.lit("\n\n\n")), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text))
 
 
 def content_hash(x) -> Column:
@@ -67,8 +94,8 @@ def word_set(x) -> Column:
 
 
 def folded(x) -> Column:
-    """Lower case without the diacritics of Latin-1 letters; ß, ø and ligatures stay."""
-    return F.translate(F.lower(column(x)), ACCENTED, FOLDED)
+    """Lower case without the diacritics of Latin letters that have one; ß, ø and ligatures stay."""
+    return F.translate(F.lower(column(x)), _MARKED, _BARE)
 
 
 def terms(x) -> Column:
@@ -78,11 +105,11 @@ def terms(x) -> Column:
 
 def token_count(x) -> Column:
     """White-space separated tokens."""
-    return F.size(F.filter(F.split(column(x), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != ""))
+    return F.size(F.filter(F.split(column(x), _gap), lambda t: t != ""))
 
 
 def collapsed(x) -> Column:
-    return F.lower(strip(F.regexp_replace(column(x), r"(?U)[\s\x1c-\x1f]+", " ")))
+    return F.lower(strip(F.regexp_replace(column(x), _gap, " ")))
 
 
 def nfc(x) -> Column:
@@ -94,6 +121,12 @@ def nfc(x) -> Column:
     return F.pandas_udf(batch, "string")(column(x))
 
 
+def composed(x) -> Column:
+    """``nfc`` of texts that may need it; those with nothing above U+02FF are composed already and go to no Python worker."""
+    text = column(x)
+    return F.coalesce(nfc(F.when(text.rlike("[^\\u0000-\\u02ff]"), text)), text)
+
+
 def folded_any(x) -> Column:
     """Lower case without combining marks, any script (Arrow batches)."""
 
@@ -122,26 +155,44 @@ def with_role(x, role: str) -> Column:
     return F.concat(F.lit(f"{role}: "), F.regexp_replace(column(x), r"^(query|passage): ", ""))
 
 
+def _spelled(words: str) -> str:
+    """One of the words, brackets and blanks around it optional."""
+    return r"\s*[(\[]?\s*(?:" + words.replace(" ", "|") + r")\s*[)\]]?\s*"
+
+
+_dot = re.compile(_spelled(DOT_WORDS), re.I)
+_address = re.compile(rf"\b([{LOCAL_CHARS}]+){_spelled(AT_WORDS)}((?:[{LABEL_CHARS}]+{_spelled(DOT_WORDS)})+[{LABEL_CHARS}]+)\b", re.I)
+_phone = re.compile("(?:" + "|".join(map(re.escape, PHONE_STARTS.split())) + rf")\s?(?:[0-9][\s{PHONE_GAPS}]?){{{PHONE_LEAST},}}")
+
+
+def _written_address(text: str) -> str:
+    """Spelled addresses of a text written with signs; what that brings about is looked at again until nothing changes."""
+    while (found := _address.sub(lambda m: f"{m[1]}@{'.'.join(_dot.split(m[2]))}", text)) != text:
+        text = found
+    return text
+
+
 def deobfuscated_email(x) -> Column:
-    """``a (at) b (dot) c`` as ``a@b.c``: brackets are optional, ``chez`` and ``point`` count too; chains of up to five dots."""
-    dot = r"\s*[(\[]?\s*(?:dot|point)\s*[)\]]?\s*"
-    out = F.regexp_replace(column(x), r"(?i)\b([a-z0-9._%+-]+)\s*[(\[]?\s*(?:at|chez)\s*[)\]]?\s*([a-z0-9-]+(?:" + dot + r"[a-z0-9-]+)+)\b", "$1@$2")
-    for _ in range(5):
-        out = F.regexp_replace(out, r"(?i)(@[a-z0-9.-]*?[a-z0-9-])" + dot + r"(?=[a-z0-9-])", "$1.")
-    return out
+    """``a (at) b (dot) c`` as ``a@b.c``: brackets are optional, ``chez`` and ``point`` count too; other text stays (Arrow batches, texts without the words are not sent)."""
+
+    def batch(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: s if s is None else _written_address(s))
+
+    text = column(x)
+    some = text.rlike(f"(?i){AT_WORDS.replace(' ', '|')}") & text.rlike(f"(?i){DOT_WORDS.replace(' ', '|')}")
+    return F.coalesce(F.pandas_udf(batch, "string")(F.when(some, text)), text)
+
+
+def _paired(number: str) -> str:
+    digits = re.findall("[0-9]", number)
+    return " ".join(a + b for a, b in zip(digits[::2], digits[1::2])) if len(digits) == PHONE_DIGITS else number
 
 
 def phone_pairs(x) -> Column:
     """Phone numbers of exactly ten digits as five pairs; others stay (Arrow batches)."""
 
     def batch(x: pd.Series) -> pd.Series:
-        number = re.compile(r"(?:\+33|0)\s?(?:[0-9][\s().-]?){8,}")
-    
-        def paired(m: re.Match) -> str:
-            digits = "".join(c for c in m[0] if c.isdecimal())
-            return " ".join(map("".join, zip(digits[::2], digits[1::2]))) if len(digits) == 10 else m[0]
-    
-        return x.map(lambda s: s if s is None else number.sub(paired, s))
+        return x.map(lambda s: s if s is None else _phone.sub(lambda m: _paired(m[0]), s))
 
     return F.pandas_udf(batch, "string")(column(x))
 

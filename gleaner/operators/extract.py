@@ -10,6 +10,7 @@ import csv
 import io
 import re
 from html.parser import HTMLParser
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,17 +36,31 @@ def without_front_matter(x) -> Column:
     return F.regexp_replace(column(x), r"(?s)\A---\n(?=.*?\n---\n)(?:(?!\n---\n).)*\n---\n", "")
 
 
+# The Markdown that becomes plain text, in the order of the passes, and what stays of it.
+MARKDOWN = (
+    (r"(?s)```[^\n]*\n(.*?)```", "$1"),
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]*\)", "$1"),
+    (r"(?m)^#{1,6}\s+", ""),
+    (r"(?m)^[>\-*+]\s+", ""),
+    (r"[*_~`]", ""),
+    (r"<[A-Za-z/!][^>]*>", ""),
+)
+
+
 def markdown_text(x) -> Column:
     """Markdown to plain text by ordered passes; tags are dropped and the basic character references decoded."""
-    out = F.regexp_replace(column(x), r"(?s)```[^\n]*\n(.*?)```", "$1")
-    for pattern, new in ((r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^[>\-*+]\s+", ""), (r"[*_~`]", ""), (r"<[A-Za-z/!][^>]*>", "")):
+    out = column(x)
+    for pattern, new in MARKDOWN:
         out = F.regexp_replace(out, pattern, new)
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(char))
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
-_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+# Fixed value: where str.splitlines() breaks.
+BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+_LINES = re.compile(BREAKS)
 
 
 def _sections_at_headings(md: str) -> list[dict]:
@@ -103,14 +118,16 @@ def line_sections(md) -> Column:
     return F.pandas_udf(batch, SECTIONS)(column(md))
 
 
+_cell = str.maketrans({"|": r"\|", "\n": " "})
+
+
 def table_markdown(rows: list[list[str]]) -> str:
     """Rows as a Markdown table: short rows filled up, bars escaped, line ends as spaces, the first row as header."""
-    if not rows:
+    filled = list(zip(*zip_longest(*rows, fillvalue="")))
+    if not filled:
         return ""
-    wide = max(map(len, rows))
-    line = lambda cells: "| " + " | ".join(cells) + " |"
-    body = [line([str(c).replace("|", r"\|").replace("\n", " ") for c in r] + [""] * (wide - len(r))) for r in rows]
-    return "\n".join([body[0], line(["---"] * wide), *body[1:]])
+    filled.insert(1, ("---",) * len(filled[0]))
+    return "\n".join(f"| {' | '.join(str(c).translate(_cell) for c in r)} |" for r in filled)
 
 
 def csv_markdown(x, sep) -> Column:
@@ -263,13 +280,35 @@ def high_link_density(n_links, link_chars, text_chars) -> Column:
     return (n >= 3) & (whole > 0) & (whole < 600) & (part / whole > 0.7)
 
 
+def kept_lines(x, times: int = 3, most_chars: int = 80) -> Column:
+    """The lines of a text without blank ones, short ones that occur ``times`` or more, and menu switches.
+
+    Inside the row: lines sorted by their levelled form stand beside their like, so one that has
+    ``times`` - 1 like it next to it, on either side, is repeated.
+    """
+    split = F.transform(F.split(column(x), BREAKS), lambda line, k: F.struct(collapsed(line).alias("norm"), k.alias("pos"), strip(line).alias("line")))
+    ordered = F.array_sort(F.filter(split, lambda s: s["line"] != ""))
+
+    def kept(rows: Column) -> Column:
+        at = lambda k: F.get(rows, k)["norm"]
+
+        def repeated(k: Column) -> Column:
+            out = F.lit(times <= 1)
+            for back in range(times):
+                out = out | F.coalesce((k >= back) & (at(k - back) == at(k - back + times - 1)), F.lit(False))
+            return out
+
+        return F.filter(rows, lambda s, k: ~((F.length(s["norm"]) <= most_chars) & repeated(k)) & ~s["norm"].isin("show menu", "hide menu"))
+
+    # ``transform`` over an array of one gives the sorted lines a name, so that they are computed once.
+    found = F.flatten(F.transform(F.array(ordered), kept))
+    return F.transform(F.array_sort(F.transform(found, lambda s: F.struct(s["pos"].alias("pos"), s["line"].alias("line")))), lambda s: s["line"])
+
+
 def deduped_lines(df: DataFrame, key: str, text: str, times: int = 3, most_chars: int = 80) -> DataFrame:
-    """``key`` and the text without its blank lines, its short lines that occur ``times`` or more, and menu switches."""
-    lines = df.select(key, F.posexplode(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]")).alias("pos", "raw")).select(key, "pos", strip("raw").alias("line")).where("line <> ''").withColumn("norm", collapsed("line"))
-    times_here = F.count(F.lit(1)).over(Window.partitionBy(key, "norm"))
-    kept = lines.withColumn("n", times_here).where(~((F.col("n") >= times) & (F.length("norm") <= most_chars)) & ~F.col("norm").isin("show menu", "hide menu"))
-    joined = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias(text), F.count(F.lit(1)).alias("n_lines"))
-    return df.select(key).join(joined, key, "left").select(key, F.coalesce(text, F.lit("")).alias(text), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
+    """``key`` and the text without its blank lines, its short lines that occur ``times`` or more, and menu switches; each row by itself."""
+    rows = df.select(key, F.coalesce(kept_lines(text, times, most_chars), F.array().cast("array<string>")).alias("kept"))
+    return rows.select(key, F.array_join("kept", "\n").alias(text), F.size("kept").cast("long").alias("n_lines"))
 
 
 def heading_path(x) -> Column:

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from gleaner.functions.text import content_hash, stable_id
+from gleaner.functions.text import content_hash, stable_id, strip
 from gleaner.functions.urls import uri_rank
+from gleaner.session import stored
 
 
 def content_documents(files: DataFrame) -> DataFrame:
     """Fresh build: one document for each (corpus_id, content hash), in ``seq`` order; empty texts are never merged.
 
-    ``files``: corpus_id, uri, seq, text. Gives a row a file: document_id, content_hash, is_owner, canonical_uri.
-    The group aggregate and a join on the group key keep hot hashes out of a single sorted window.
+    ``files``: corpus_id, uri, seq, text. Gives a row a file: document_id, content_hash, is_owner, canonical_uri, n_aliases.
+    Hashes are written once, without the texts; the group aggregate and a join on the
+    group key keep hot hashes out of a single sorted window.
     """
-    h = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", F.concat(F.lit("empty:"), "uri")).otherwise(content_hash("text"))
-    rows = files.withColumn("content_hash", h)
-    groups = rows.groupBy("corpus_id", "content_hash").agg(F.min(F.struct("seq", "uri")).alias("first"), F.min(uri_rank("uri")).alias("best"))
-    groups = groups.select("corpus_id", "content_hash", stable_id("document", "corpus_id", "first.uri").alias("document_id"), F.col("first.seq").alias("first_seq"), F.col("best.u").alias("canonical_uri"))
-    return rows.join(groups, ["corpus_id", "content_hash"]).select("corpus_id", "uri", "seq", "document_id", "content_hash", (F.col("seq") == F.col("first_seq")).alias("is_owner"), "canonical_uri")
+    empty = strip(F.coalesce("text", F.lit(""))) == ""
+    rows = stored(files.select("corpus_id", "uri", "seq", F.when(empty, F.concat(F.lit("empty:"), "uri")).otherwise(content_hash("text")).alias("content_hash")), "hashes")
+    groups = rows.groupBy("corpus_id", "content_hash").agg(F.min(F.struct("seq", "uri")).alias("first"), F.min(uri_rank("uri")).alias("best"), F.count(F.lit(1)).alias("n_aliases"))
+    groups = groups.select("corpus_id", "content_hash", stable_id("document", "corpus_id", "first.uri").alias("document_id"), F.col("first.seq").alias("first_seq"), F.col("best.u").alias("canonical_uri"), "n_aliases")
+    return rows.join(groups, ["corpus_id", "content_hash"]).select("corpus_id", "uri", "seq", "document_id", "content_hash", (F.col("seq") == F.col("first_seq")).alias("is_owner"), "canonical_uri", "n_aliases")
 
 
 def primary_alias(aliases: DataFrame, group: str, uri: str = "uri") -> DataFrame:

@@ -26,30 +26,37 @@ class TextIndex:
     fields: tuple[str, ...]
 
 
-def build_postings(chunks: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of ``chunks`` (chunk_id and the columns of ``fields``), in one scan.
+def term_lists(chunks: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """chunk_id and an array of terms for each of ``fields`` (field: column)."""
+    return chunks.select("chunk_id", *[terms(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"terms_{f}") for f, c in fields.items()])
 
-    Each row's terms are counted inside the row, so what is shuffled is one row a
+
+def build_postings(lists: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of ``term_lists``.
+
+    A chunk's terms are counted where they are, so what is shuffled is one row a
     (chunk, term), not one a token.
     """
-    def tagged_terms(field: str, column: str) -> Column:
-        return F.transform(terms(F.coalesce(F.col(column).cast("string"), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+    lengths = lists.select("chunk_id", sum((F.size(f"terms_{f}") for f in fields), F.lit(0)).cast("long").alias("dl"))
+
+    def tagged_terms(field: str) -> Column:
+        return F.transform(f"terms_{field}", lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
 
-    parts = [tagged_terms(f, c) for f, c in fields.items()]
-    tagged = chunks.select("chunk_id", F.concat(*parts).alias("tokens"))
-    lengths = tagged.select("chunk_id", F.size("tokens").cast("long").alias("dl"))
-    flat = tagged.select("chunk_id", F.explode("tokens").alias("t")).select("chunk_id", F.col("t.term").alias("term"), F.col("t.field").alias("field"))
+    tagged = [tagged_terms(f) for f in fields]
+    flat = lists.select("chunk_id", F.explode(F.concat(*tagged)).alias("t")).select("chunk_id", F.col("t.term").alias("term"), F.col("t.field").alias("field"))
     postings = flat.groupBy("term", "chunk_id").agg(*[F.count_if(F.col("field") == f).alias(f"tf_{f}") for f in fields])
     return postings, lengths
 
 
 def text_index(chunks: DataFrame, fields: dict[str, str], keep: bool = False) -> TextIndex:
-    """The index of ``chunks``; ``keep`` writes postings and lengths first, since every search reads them more than once."""
-    postings, lengths = build_postings(chunks, fields)
-    if keep:
-        postings, lengths = stored(postings, "postings"), stored(lengths, "lengths")
+    """The index of ``chunks``; ``keep`` writes term lists, postings, lengths and document frequencies, since every search reads them more than once."""
+    save = stored if keep else lambda df, name: df
+    names = tuple(fields)
+    postings, lengths = build_postings(save(term_lists(chunks, fields), "terms"), names)
+    postings, lengths = save(postings, "postings"), save(lengths, "lengths")
     stats = lengths.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    return TextIndex(postings, lengths, stats, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), tuple(fields))
+    dfs = save(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "dfs")
+    return TextIndex(postings, lengths, stats, dfs, names)
 
 
 def save_index(index: TextIndex, path: str, buckets: int = 64) -> None:

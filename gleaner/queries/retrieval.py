@@ -9,7 +9,7 @@ from gleaner.operators import index, retrieve
 from gleaner.plans.engine import Retriever, chunk_index, document_chunks, stage_table
 from gleaner.plans.profiles import Profile, Retrieval
 from gleaner.queries import Queries, table
-from gleaner.session import stored
+from gleaner.session import spread, stored
 
 ALL = Queries()
 
@@ -43,9 +43,24 @@ def queries_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_indexes: dict[tuple, tuple] = {}
+
+
 def index_of(spark: SparkSession, sf: str):
-    chunks = document_chunks(table(spark, sf, "documents"))
-    return chunks, chunk_index(chunks)
+    """Chunks and their index, built once for a snapshot of the documents in an application."""
+    docs = table(spark, sf, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)"))).first()[0]
+    key = (spark.sparkContext.applicationId, sf, state)
+    if key in _indexes:
+        try:
+            _indexes[key][1].lengths.limit(1).collect()  # the folder may have been cleared since
+        except Exception:
+            del _indexes[key]
+    if key not in _indexes:
+        chunks = stored(document_chunks(spread(docs.select("doc_id", "source", "text"))), "chunks")
+        _indexes[key] = chunks, chunk_index(chunks)
+    return _indexes[key]
 
 
 def scored(df: DataFrame) -> DataFrame:
@@ -93,14 +108,13 @@ def vectors_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @ALL.add(f"WITH {DENSE}, t AS ({top('scores', 20)}) SELECT query_id, chunk_id, score, rank FROM t")
 def dense_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     q, v = vectors_of(spark, sf)
-    near = retrieve.dense_lane(q, v, 40)
-    return scored(retrieve.ranked(near.drop("rank").withColumn("score", F.round("score", 6)), 20))
+    return scored(retrieve.dense_lane(q, v, 20, decimals=6))
 
 
 @ALL.add(f"WITH {DENSE}, f AS (SELECT * FROM scores WHERE label IN (1, 2, 3)), t AS ({top('f', 10)}) SELECT query_id, chunk_id, score, rank FROM t")
 def dense_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     q, v = vectors_of(spark, sf)
-    return scored(retrieve.dense_lane_columns(q, v.where(F.col("label").isin(1, 2, 3)), 10))
+    return scored(retrieve.dense_lane(q, v.where(F.col("label").isin(1, 2, 3)), 10, decimals=6))
 
 
 @ALL.add("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM e) SELECT vec_id, round(norm, 6) AS norm, round(CASE WHEN norm = 0 THEN x[1] ELSE x[1] / norm END, 6) AS x1, CAST(len(x) AS INTEGER) AS dims FROM n")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_own_dirs: dict[str, str] = {}
+_own: dict[str, str] = {}  # temporary folders of local sessions
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -21,13 +23,31 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small table is often one row group, so one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Unset, a temporary folder serves a local session; a cluster must name one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="gleaner-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        where = f"file://{_own[app]}"
+    return where.rstrip("/")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder of spark.checkpoint.dir (a temporary one where that is unset) and read back.
+    """``df`` written to the shared folder and read back.
 
     For tables that several branches of a plan read: computed once, and kept when executors are lost.
     """
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="gleaner-"))
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gleaner import catalog
+from gleaner.functions import text as X
 from gleaner.operators import answer, chunking, evaluate, extract, filters, identity, index, retrieve
 
 
@@ -167,7 +168,8 @@ def test_dense_lane_in_blocks(spark):
     v = spark.createDataFrame([(k, [float(k % 5), 1.0, float(k % 3)]) for k in range(50)] + [(99, [0.0, 0.0, 0.0])], "chunk_id int, embedding array<double>")
     q = v.where("chunk_id < 5").select(F.col("chunk_id").alias("query_id"), "embedding")
     key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id) for r in df.collect())
-    assert key(retrieve.dense_lane(q, v, 7, block=2)) == key(retrieve.dense_lane_columns(q, v, 7))
+    pairs = v.crossJoin(q.withColumnRenamed("embedding", "q")).select("query_id", "chunk_id", F.round(X.cosine("q", "embedding"), 6).alias("score"))
+    assert key(retrieve.dense_lane(q, v, 7, block=2, decimals=6)) == key(retrieve.ranked(pairs, 7))
 
 
 def test_seeded_identity(spark):
