@@ -1,6 +1,6 @@
 """Mixture-controlled packing (deficit round-robin over source queues).
 
-1. Rows are dealt evenly over partitions and tokenised once; a task writes its
+1. Rows are dealt evenly over partitions, in the order of a hash, and tokenised once; a task writes its
    ids as *lanes*, rows of about ``lane_tokens`` ids (16 bit each).
 2. Token counts by lane and source (no ids are read for them) give the target
    proportions, those of the corpus where the caller has no others, and, by
@@ -332,7 +332,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     holds up to ``lane_tokens`` ids and one document more; sequence ids leave 24
     bits for the sequences of a lane, 20 for the lanes of a task.
     """
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.monotonically_increasing_id().alias("_row")).repartition(F.xxhash64("_row")).drop("_row")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", F.monotonically_increasing_id().alias("_row")).withColumn("_place", F.xxhash64("_row"))
+    # In the order of a hash every lane is a fair draw of the rows, and the same one whenever a task runs again.
+    dealt = dealt.repartition("_place").sortWithinPartitions("_place", "_row").select("doc_id", "source", "text")
     lanes = materialize(dealt.mapInArrow(lambda it: lanes_of(it, tokenizer_path, lane_tokens), LANES), "lanes")
     counts = materialize(lanes.select("part", "lane", F.explode(F.arrays_zip("names", "counts")).alias("x")).select("part", "lane", F.col("x.names").alias("name"), F.col("x.counts").alias("n")), "lane-counts")
     owed = materialize(lane_deficits(counts, targets), "lane-deficits")
