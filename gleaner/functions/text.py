@@ -188,6 +188,11 @@ def _paired(number: str) -> str:
     return " ".join(a + b for a, b in zip(digits[::2], digits[1::2])) if len(digits) == PHONE_DIGITS else number
 
 
+def spelled_out(text: str) -> str:
+    """Addresses and phone numbers of a text written plainly."""
+    return _phone.sub(lambda m: _paired(m[0]), _written_address(text))
+
+
 def phone_pairs(x) -> Column:
     """Phone numbers of exactly ten digits as five pairs; others stay (Arrow batches)."""
 

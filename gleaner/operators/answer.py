@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from string import Template
 from zoneinfo import ZoneInfo
 
@@ -15,6 +16,8 @@ from pyspark.sql.window import Window
 from gleaner.functions.text import column
 
 MAX_CONTEXT = 16_000
+# The keys of a chat message.
+MESSAGE_KEYS = ("role", "content")
 SYSTEM = "Answer from the numbered sources only and cite them as [C1]. Say so when they do not hold the answer."
 USER = "Question: ${question}\n\nSources:\n${context}"
 
@@ -49,13 +52,28 @@ def source_items(final: DataFrame, chunks: DataFrame) -> DataFrame:
     return final.join(chunks, "chunk_id").select("query_id", "rank", "chunk_id", "document_id", "url", "title", "heading_path")
 
 
+@dataclass(frozen=True)
+class Prompt:
+    """The two templates of a grounded answer, with a reference date in the time zone of the reader."""
+
+    system: str = SYSTEM
+    user: str = USER
+    timezone: str = "UTC"
+
+    def dated(self, today: datetime.date | None) -> str:
+        now = datetime.datetime.now(ZoneInfo(self.timezone))
+        return f"{self.system}\nReference date: {today or now.date()}"
+
+    def render(self, question: str, context: str, today: datetime.date | None = None) -> dict[str, str]:
+        """Text by role."""
+        return {"system": self.dated(today), "user": Template(self.user).substitute(question=question, context=context)}
+
+
 def messages(question: str, context: str, system: str = SYSTEM, user: str = USER, timezone: str = "UTC", today: datetime.date | None = None) -> tuple[list[dict], dict]:
     """System and user message, and the digests that identify them."""
-    day = today or datetime.datetime.now(ZoneInfo(timezone)).date()
-    system = f"{system}\nReference date: {day.isoformat()}"
-    rendered = Template(user).substitute(question=question, context=context)
-    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    return [{"role": "system", "content": system}, {"role": "user", "content": rendered}], {"system_sha256": digest(system), "user_sha256": digest(user)}
+    rendered = Prompt(system, user, timezone).render(question, context, today)
+    sent = [dict(zip(MESSAGE_KEYS, pair)) for pair in rendered.items()]
+    return sent, {f"{role}_sha256": hashlib.sha256(text.encode()).hexdigest() for role, text in rendered.items()}
 
 
 def answer_events(question: str, sources: list[dict], context: str, model: Callable[[list[dict]], Iterator[str]]) -> Iterator[dict]:

@@ -139,6 +139,24 @@ def csv_markdown(x, sep) -> Column:
     return F.pandas_udf(batch, "string")(column(x), column(sep))
 
 
+def block_document(blocks) -> Column:
+    """struct(markdown, sections) of an array of (heading, value): each as ``## heading`` and its value, two line ends between.
+
+    A section's offsets are those of its value in the Markdown. Blocks without text are left out.
+    """
+    kept = F.filter(F.transform(column(blocks), lambda b: F.struct(b["heading"].alias("heading"), strip(b["value"]).alias("value"))), lambda b: b["value"] != "")
+    head = lambda b: F.when(F.coalesce(b["heading"], F.lit("")) != "", F.concat(F.lit("## "), b["heading"], F.lit("\n\n"))).otherwise("")
+    before = lambda all_, k: F.aggregate(F.slice(all_, 1, k), F.lit(0), lambda n, b: n + F.length(head(b)) + F.length(b["value"]) + 2)
+
+    def section(all_: Column, b: Column, k: Column) -> Column:
+        start = before(all_, k) + F.length(head(b))
+        path = F.when(F.coalesce(b["heading"], F.lit("")) != "", F.array(b["heading"])).otherwise(F.array().cast("array<string>"))
+        return F.struct(path.alias("heading_path"), markdown_text(b["value"]).alias("content"), start.alias("start_char_idx"), (start + F.length(b["value"])).alias("end_char_idx"))
+
+    named = F.transform(F.array(kept), lambda all_: F.struct(F.array_join(F.transform(all_, lambda b: F.concat(head(b), b["value"])), "\n\n").alias("markdown"), F.transform(all_, lambda b, k: section(all_, b, k)).alias("sections")))
+    return named[0]
+
+
 class _Blocks(HTMLParser):
     """Sections of a page: headings h1 to h3 in a stack; p, li, table, pre, blockquote as content, outermost first."""
 
@@ -239,7 +257,7 @@ class _Blocks(HTMLParser):
             self.text.append(data)
 
 
-def _html_sections(html: str) -> list[dict]:
+def html_sections_of(html: str) -> list[dict]:
     parser = _Blocks()
     parser.feed(html)
     parser.close()
@@ -253,7 +271,7 @@ def _html_sections(html: str) -> list[dict]:
 def html_sections(html) -> Column:
 
     def batch(html: pd.Series) -> pd.Series:
-        return html.map(lambda s: _html_sections(s or ""))
+        return html.map(lambda s: html_sections_of(s or ""))
 
     return F.pandas_udf(batch, SECTIONS)(column(html))
 

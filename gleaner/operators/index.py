@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,11 +61,15 @@ def text_index(chunks: DataFrame, fields: dict[str, str], keep: bool = False) ->
     return TextIndex(postings, lengths, stats, dfs, names)
 
 
+def index_tables(index: TextIndex, buckets: int = 64) -> dict[str, DataFrame]:
+    """Tables of an index by their place in a snapshot; postings sorted by term within hash partitions, so a lookup by term reads few row groups."""
+    postings = index.postings.repartition(buckets, "term").sortWithinPartitions("term")
+    return {"index/postings": postings, "index/lengths": index.lengths, "index/stats": index.stats, "index/dfs": index.dfs}
+
+
 def save_index(index: TextIndex, path: str, buckets: int = 64) -> None:
-    """Postings sorted by term within hash partitions, so a lookup by term reads few row groups."""
-    index.postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    for name in ("lengths", "stats", "dfs"):
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, df in index_tables(index, buckets).items():
+        df.write.mode("overwrite").parquet(f"{path}/{name.removeprefix('index/')}")
 
 
 def load_index(spark: SparkSession, path: str) -> TextIndex:
@@ -97,3 +103,45 @@ def fingerprint(**settings) -> str:
 def check_fingerprint(built: str, asked: str) -> None:
     if built != asked:
         raise ValueError("the index was built with another embedder")
+
+
+def dense_index(chunks: DataFrame, embed: Callable[[Column], Column], path: str, composition: Column | None = None, **settings) -> dict:
+    """Embed ``chunks`` (chunk_id, text and payload columns) and write them as vectors under ``path``; gives the run's record.
+
+    The target must be empty. The record stands beside the vectors: running, then
+    succeeded once as many vectors as chunks are there, else failed. It holds the embedder's fingerprint, which queries must match.
+    """
+    spark = chunks.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and fs.listStatus(target):
+        raise ValueError(f"{path} is not empty")
+    run = {"index_run_id": uuid.uuid4().hex, "embedder": fingerprint(**settings), "settings": settings}
+
+    def record(status: str, **more) -> dict:
+        stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/run.json"), True)
+        stream.write(bytearray(json.dumps(run | {"status": status} | more, sort_keys=True).encode()))
+        stream.close()
+        return run | {"status": status} | more
+
+    record("running")
+    try:
+        rows = chunks.withColumn("embedding", embed(composition if composition is not None else F.col("text"))).drop("text")
+        vector_table(rows).write.parquet(f"{path}/vectors")
+        want, have = chunks.count(), spark.read.parquet(f"{path}/vectors").where("embedding is not null").count()
+        if want != have:
+            raise ValueError(f"{have} vectors for {want} chunks")
+    except Exception as e:
+        record("failed", error=type(e).__name__)
+        raise
+    return record("succeeded", vectors=have)
+
+
+def open_vectors(spark: SparkSession, path: str, **settings) -> DataFrame:
+    """The vectors of a run that succeeded with the same embedder."""
+    run = json.loads(spark.read.text(f"{path}/run.json", wholetext=True).first().value)
+    if run["status"] != "succeeded":
+        raise ValueError(f"the index run {run['status']}")
+    check_fingerprint(run["embedder"], fingerprint(**settings))
+    return spark.read.parquet(f"{path}/vectors")

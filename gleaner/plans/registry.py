@@ -9,7 +9,25 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 
 API_VERSION = 2
-CAPABILITIES = frozenset("retrieval strategy planner processor context artifact pdf pdf-inspector ocr prompt html policy chunker runtime".split())
+# What a provider may offer.
+CAPABILITIES = frozenset(
+    (
+        "retrieval",
+        "strategy",
+        "planner",
+        "processor",
+        "context",
+        "artifact",
+        "pdf",
+        "pdf-inspector",
+        "ocr",
+        "prompt",
+        "html",
+        "policy",
+        "chunker",
+        "runtime",
+    )
+)
 
 
 class Lane(Protocol):
@@ -28,6 +46,22 @@ class ContextBuilder(Protocol):
     def __call__(self, final: DataFrame, chunks: DataFrame) -> DataFrame: ...
 
 
+class Strategy(Protocol):
+    """Owns the ranking of a request: (queries) -> (final rows, ranked rows by stage, numbers by name); the engine only checks and resolves what it returns."""
+
+    def __call__(self, queries: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], dict[str, float]]: ...
+
+
+class Planner(Protocol):
+    """Chooses the lanes of a request: (lane, limit, weight) of each."""
+
+    def __call__(self, lanes: list[str]) -> list[tuple[str, int, float]]: ...
+
+
+class PromptSource(Protocol):
+    def __call__(self, prompt_id: str) -> str: ...
+
+
 class Policy(Protocol):
     """Adds a boolean ``allowed``; queries without it get nothing."""
 
@@ -65,9 +99,9 @@ class Registry:
 
 def builtin() -> Registry:
     """What this package offers by itself; PDF, OCR and office parsers need their libraries and are not built in."""
-    from gleaner.operators import chunking, extract, retrieve
+    from gleaner.operators import chunking, pages, retrieve
 
     out = Registry()
-    for name, capability, factory in (("sparse", "retrieval", retrieve.sparse_lane), ("dense", "retrieval", retrieve.dense_lane), ("canonical", "context", retrieve.resolved), ("neighbours", "context", retrieve.neighbours), ("html", "html", extract.html_sections), ("structural", "chunker", chunking.structural_chunks)):
+    for name, capability, factory in (("sparse", "retrieval", retrieve.sparse_lane), ("dense", "retrieval", retrieve.dense_lane), ("canonical", "context", retrieve.resolved), ("neighbours", "context", retrieve.neighbours), ("html", "html", pages.page_document), ("structural", "chunker", chunking.structural_chunks)):
         out.register(Provider(name, "1", frozenset((capability,)), factory))
     return out

@@ -6,6 +6,7 @@ import hashlib
 import json
 import uuid
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,18 +79,29 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
 def _listing(spark: SparkSession, path: str) -> dict[str, int]:
     """Data files below a folder with their sizes, through the store's own client."""
     fs, p = _files(spark, path)
+    top = fs.resolvePath(p).toUri().getPath().rstrip("/") + "/"
     out: dict[str, int] = {}
     it = fs.listFiles(p, True)
     while it.hasNext():
         f = it.next()
-        name = f.getPath().getName()
-        if not name.startswith(("_", ".")):
-            out[f.getPath().getParent().getName() + "/" + name] = f.getLen()
+        name = f.getPath().toUri().getPath().removeprefix(top)
+        if not any(part.startswith(("_", ".")) for part in name.split("/")) and name != "manifest.json":
+            out[name] = f.getLen()
     return out
 
 
+def _digests(spark: SparkSession, path: str) -> dict[str, str]:
+    """sha256 of the data files, computed where they are read; names and digests only come to the driver, as many as the manifest lists."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", F.sha2("content", 256).alias("d"))
+    top = _files(spark, path)[0].resolvePath(_files(spark, path)[1]).toUri().getPath().rstrip("/") + "/"
+    return {urlsplit(r.path).path.removeprefix(top): r.d for r in rows.toLocalIterator()}
+
+
 def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], stats: dict | None = None) -> Snapshot:
-    """Write ``tables`` under ``root``: staged, checked for keys, renamed, and named by the digest of the manifest."""
+    """Write ``tables`` under ``root``: staged, checked for keys, renamed, and named by the digest of the manifest.
+
+    The manifest holds the size and sha256 of every file, an index's included where its tables are given.
+    """
     stage = f"{root}/_staging-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{stage}/{name}")
@@ -99,17 +111,18 @@ def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], stats:
     if broken is not None and (bad := broken.limit(5).collect()):
         fs.delete(staged, True)
         raise ValueError(f"constraints broken: {[tuple(r) for r in bad]}")
-    body = {"app_schema_version": SCHEMA_VERSION, "tables": {n: sorted(df.dtypes) for n, df in written.items()}, "files": _listing(spark, stage), "stats": stats or {}}
+    listed, digests = _listing(spark, stage), _digests(spark, stage)
+    body = {"app_schema_version": SCHEMA_VERSION, "tables": {n: sorted(df.dtypes) for n, df in written.items()}, "files": {n: [size, digests.get(n)] for n, size in listed.items()}, "stats": stats or {}}
     digest = hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()
     _write_text(spark, f"{stage}/manifest.json", json.dumps(body | {"digest": digest}, sort_keys=True))
     final = f"{root}/snapshot-{digest[:24]}"
     if not fs.rename(staged, _files(spark, final)[1]):
         raise OSError(f"{final} is there already")
-    return Snapshot(spark, final, body | {"digest": digest})
+    return open_snapshot(spark, final)
 
 
-def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
-    """Open read-only; another schema version, another digest or changed files are refused."""
+def open_snapshot(spark: SparkSession, path: str, verify: bool = False) -> Snapshot:
+    """Open read-only; another schema version, another manifest or files of another size are refused, with ``verify`` also files of another digest."""
     text = spark.read.text(f"{path}/manifest.json", wholetext=True).first().value
     manifest = json.loads(text)
     body = {k: v for k, v in manifest.items() if k != "digest"}
@@ -118,6 +131,8 @@ def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
     if hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest() != manifest.get("digest"):
         raise ValueError("the manifest was changed")
     files = _listing(spark, path)
-    if any(files.get(name) != n for name, n in body["files"].items()):
+    if files != {name: size for name, (size, _) in body["files"].items()}:
         raise ValueError("files of the snapshot were changed")
+    if verify and _digests(spark, path) != {name: digest for name, (_, digest) in body["files"].items()}:
+        raise ValueError("contents of the snapshot were changed")
     return Snapshot(spark, path, manifest)
