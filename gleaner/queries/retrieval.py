@@ -117,17 +117,19 @@ def dense_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return scored(retrieve.dense_lane(q, v.where(F.col("label").isin(1, 2, 3)), 10, decimals=6))
 
 
-@ALL.add("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM e) SELECT vec_id, round(norm, 6) AS norm, round(CASE WHEN norm = 0 THEN x[1] ELSE x[1] / norm END, 6) AS x1, CAST(len(x) AS INTEGER) AS dims FROM n")
+@ALL.add("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM e)
+SELECT vec_id, round(norm, 6) AS norm, CAST(unnest(range(len(x))) AS INTEGER) AS pos, round(unnest(list_transform(x, lambda v: CASE WHEN norm = 0 THEN v ELSE v / norm END)), 6) AS x FROM n""")
 def l2_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    """Every number of every vector."""
     e = index.vector_table(table(spark, sf, "embeddings"))
-    return e.select("vec_id", F.round("norm", 6).alias("norm"), F.round(X.l2_normalized("embedding")[0], 6).alias("x1"), F.size("embedding").alias("dims"))
+    return e.select("vec_id", F.round("norm", 6).alias("norm"), F.posexplode(X.l2_normalized("embedding")).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @ALL.add("""WITH d AS (SELECT item_id, sha256('7' || chr(0) || 'query' || chr(0) || text || chr(0) || '0') AS h FROM benchmark), n AS (SELECT item_id, list_transform(range(8), lambda j: CAST(('0x' || substr(h, CAST(j * 8 + 1 AS BIGINT), 8)) AS BIGINT) / 2147483647.5 - 1) AS x FROM d)
-SELECT item_id, round(x[1] / sqrt(list_inner_product(x, x)), 6) AS x1, round(x[8] / sqrt(list_inner_product(x, x)), 6) AS x8 FROM n""")
+SELECT item_id, CAST(unnest(range(8)) AS INTEGER) AS pos, round(unnest(list_transform(x, lambda v: v / sqrt(list_inner_product(x, x)))), 6) AS x FROM n""")
 def hash_embedding(spark: SparkSession, sf: str) -> DataFrame:
     e = X.hash_embedding("text", 8, 7, "query")
-    return table(spark, sf, "benchmark").select("item_id", F.round(e[0], 6).alias("x1"), F.round(e[7], 6).alias("x8"))
+    return table(spark, sf, "benchmark").select("item_id", F.posexplode(e).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 TITLE_LANE = bm25_sql(1.0, 5.0) + ", a AS (" + top("scores", 20) + ")"
