@@ -105,7 +105,7 @@ def parts_of(band: int, fineness: float) -> int:
 
 
 def sketch(s: np.ndarray, band: int, fineness: float) -> tuple[np.ndarray, int]:
-    """Keys of the parts to join on, and how many parts are neither empty nor need they differ from any partner's."""
+    """Keys of the parts to join on, and how many parts are not empty."""
     if math.isinf(fineness):
         return mix(s ^ U64(0x5E7)), len(s)
     parts = parts_of(band, fineness)
@@ -116,13 +116,12 @@ def sketch(s: np.ndarray, band: int, fineness: float) -> tuple[np.ndarray, int]:
     part, h = part[order], h[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     parity = np.bitwise_xor.reduceat(mix(h), first)
-    spare = len(first) - (len(s) + largest_partner(len(s), band)) // 9
     keys = mix(parity ^ mix(part[first].astype(U64) + seed))
-    if spare < 1:
+    if len(first) <= (len(s) + largest_partner(len(s), band)) // 9:
         # Too many empty parts for the bound: join on them as well. A partner in the same case does so too.
         missing = np.setdiff1d(np.arange(parts), part)
         keys = np.concatenate([keys, mix(mix(missing.astype(U64) + seed) ^ U64(0xEEEE))])
-    return keys, spare
+    return keys, len(first)
 
 
 def largest_partner(n: int, band: int) -> int:
@@ -178,10 +177,9 @@ def keys_of(batches, fineness: float):
                     seen.clear()
                 seen.add(fp)
                 for band in [0] if math.isinf(fineness) else bands(len(s)):
-                    k, spare = sketch(s, band, fineness)
+                    k, room = sketch(s, band, fineness)
                     keys.append(k)
                     fps.append(np.full(len(k), fp, np.int64))
-                    room = spare if math.isinf(fineness) else spare + (len(s) + largest_partner(len(s), band)) // 9
                     tags.append(np.full(len(k), band << 2 * TAG_BITS | len(s) << TAG_BITS | room, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(fps)), pa.array(np.concatenate(tags))], names=["key", "fp", "tag"])
