@@ -37,8 +37,8 @@ AWKWARD_SQL = "d AS (SELECT doc_id, source, text FROM documents UNION ALL VALUES
 g AS (SELECT source, content_hash, min(doc_id) AS first_id, count(*) AS n_aliases FROM h GROUP BY ALL)
 SELECT h.doc_id, h.content_hash, {sid('document', 'source', "CAST(first_id AS VARCHAR)")} AS document_id, n_aliases, h.doc_id = first_id AS is_owner FROM h JOIN g USING (source, content_hash)""")
 def content_hash_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", "source", "text").unionByName(spark.createDataFrame(AWKWARD, "doc_id long, source string, text string"))
-    files = spread(d).select(F.col("source").alias("corpus_id"), F.col("doc_id").cast("string").alias("uri"), F.col("doc_id").alias("seq"), "text")
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "text")).unionByName(spark.createDataFrame(AWKWARD, "doc_id long, source string, text string").coalesce(1))
+    files = d.select(F.col("source").alias("corpus_id"), F.col("doc_id").cast("string").alias("uri"), F.col("doc_id").alias("seq"), "text")
     return identity.content_documents(files).select(F.col("seq").alias("doc_id"), "content_hash", "document_id", "n_aliases", "is_owner")
 
 
@@ -108,7 +108,7 @@ c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, norm) AS n FROM n), k AS (SE
 a AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n_lines FROM k GROUP BY 1)
 SELECT d.doc_id, coalesce(a.text, '') AS text, coalesce(n_lines, 0) AS n_lines FROM documents d LEFT JOIN a USING (doc_id)""")
 def dedupe_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.deduped_lines(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return extract.deduped_lines(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @ALL.add(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -117,7 +117,7 @@ o AS (SELECT *, sum(CASE WHEN kind <> 'paragraph' OR coalesce(lag(kind) OVER w <
 SELECT 1""".replace("lag(kind) OVER w <> 'paragraph'", "before <> 'paragraph'").replace("SELECT 1", """, b AS (SELECT doc_id, block, kind, string_agg(line, chr(10) ORDER BY pos) AS content FROM o WHERE kind <> 'blank' GROUP BY ALL)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS ordinal, kind, content FROM b""").replace(")\n,", "),\n"))
 def block_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.block_segments(table(spark, sf, "documents"), "doc_id", "text")
+    return chunking.block_segments(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @ALL.add("""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 900)) AS s FROM documents WHERE length(text) > 0)
