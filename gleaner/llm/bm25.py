@@ -9,11 +9,11 @@ Search: queries go out in blocks of at most ``QUERY_TERMS`` terms, which bounds
 what is broadcast. One pass sums the document frequencies of the block's terms
 over all shards; with them, the number of documents and the mean length, all
 global, a second pass scores by block-max WAND: posting lists are in document order
-and cut at every ``BLOCK`` documents, each posting block has its largest impact,
-and the sum of a document block's maxima bounds the scores in it. Blocks that
-reach the threshold are the pivots; the postings of others are never read.
-Pivots are found and scored by array operations, a number of blocks at a time, and the
-threshold, the k-th score so far, rises with each step and carries over a task's shards.
+and cut into blocks of two sizes (see ``Shard``) that know their largest impact, and
+the sum over a document's blocks bounds its score. Documents whose bound reaches the
+threshold are the pivots; long blocks without a pivot are never read. Pivots are found
+and scored by array operations, a number of documents at a time, and the threshold,
+the k-th score so far, rises with each step and carries over a task's shards.
 The tasks' best are merged by a window, so the result is that of scoring everything.
 
 score = sum over terms of qtf * ln(1 + (N - n + .5) / (n + .5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length)).
@@ -39,6 +39,8 @@ from gleaner.llm.decontam import tokens
 K1, B = 1.2, 0.75
 SHARD_BYTES, SHARD_DOCS = 12 << 20, 1 << 15
 BLOCK = 32
+#: Lists of this part of a shard's documents have blocks of ``BLOCK`` documents.
+LONG = 1 / 8
 QUERY_TERMS = 2 << 20
 TOP = 10
 
@@ -135,15 +137,24 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
 
 
+def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. for count[0] places, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class Shard:
-    """Postings of a shard in document order, cut into blocks at the same documents for all terms, with the largest impact of each."""
+    """Posting lists of a shard in document order, in blocks with the largest impact of each.
+
+    Blocks have two sizes. A list of an eighth of the documents or more is cut at
+    every ``BLOCK`` documents; its blocks lie side by side with those of other such lists, as columns. A
+    shorter list has blocks of one posting, whose largest impact is the posting's.
+    """
 
     def __init__(self, row: dict, vocab: np.ndarray, mean: float):
         self.ids = row["ids"]
         lens, terms, counts = np.frombuffer(row["lens"], np.int32), np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.int32)
         docs, tfs = np.frombuffer(row["docs"], np.int32), np.frombuffer(row["tfs"], np.int32)
         self.n = len(lens)
-        self.n_blocks = -(-self.n // BLOCK)
         # Only the query block's terms are kept.
         pos = np.minimum(np.searchsorted(terms, vocab), max(0, len(terms) - 1))
         there = np.flatnonzero(terms[pos] == vocab) if len(terms) else np.zeros(0, np.int64)
@@ -152,69 +163,66 @@ class Shard:
         self.docs = docs[take]
         tf = tfs[take].astype(float)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.docs] / mean))
-        # Posting blocks: where they begin, their place among the documents, their largest impact.
-        place = self.docs // BLOCK
-        of = np.repeat(np.arange(len(there)), count)
-        new = np.append(True, (place[1:] != place[:-1]) | (of[1:] != of[:-1]))[: len(place)]
-        self.begin = np.flatnonzero(new)
-        self.size = np.diff(np.append(self.begin, len(place)))
-        self.place = place[self.begin]
-        self.most = np.maximum.reduceat(self.impact, self.begin) if len(self.begin) else np.zeros(0)
-        # Each term's posting blocks.
-        self.first, self.blocks = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-        self.blocks[there] = np.bincount(of[self.begin], minlength=len(there))
-        self.first[there] = np.cumsum(self.blocks[there]) - self.blocks[there]
-        #: Posting blocks of the queries so far, and those whose postings were read.
+        self.start, self.count = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+        self.start[there], self.count[there] = np.cumsum(count) - count, count
+        long = np.flatnonzero(self.count >= max(2, LONG * self.n))
+        self.column = np.full(len(vocab), -1)
+        self.column[long] = np.arange(len(long))
+        n_blocks = -(-self.n // BLOCK)
+        self.postings = np.zeros((n_blocks * BLOCK, len(long)))
+        for c, t in enumerate(long):
+            s = slice(self.start[t], self.start[t] + self.count[t])
+            self.postings[self.docs[s], c] = self.impact[s]
+        self.most = self.postings.reshape(n_blocks, BLOCK, len(long)).max(1)
+        self.block = np.arange(self.n) // BLOCK
+        #: Blocks of long lists that queries met so far, and those whose postings were read.
         self.met = self.read = 0
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Documents and scores of what may be among the k best, given that k documents elsewhere have ``floor``.
 
-        Block-max WAND, a document block at a time: the sum of a block's maxima
-        bounds its documents. Blocks that reach the threshold are pivots and
-        scored from their postings, the most promising ones first, then the others in
-        document order, more of them in each step; every step raises the threshold, and the cursors pass
-        over the posting blocks of a document block that stays below it.
+        Block-max WAND: the largest impacts of the blocks that a document lies in
+        bound its score. Documents whose bound reaches the threshold are pivots,
+        and only the blocks of pivots are read: first those of the highest bounds, then the others
+        in document order, more of them in each step. Every step raises the
+        threshold, so the cursors pass over pivots that fall below it, and over all blocks without one.
         """
-        n = self.blocks[terms]
-        entry = ranges(self.first[terms], n)
-        if not len(entry):
-            return np.zeros(0, np.int64), np.zeros(0)
-        weight = np.repeat(weights, n)
-        place = self.place[entry]
-        bound = np.bincount(place, self.most[entry] * weight, self.n_blocks)
-        self.met += len(entry)
+        column = self.column[terms]
+        long = column >= 0
+        n = np.where(long, 0, self.count[terms])
+        bound = np.zeros(self.n)
+        if total := int(n.sum()):
+            take = np.repeat(self.start[terms] - (np.cumsum(n) - n), n) + np.arange(total)
+            bound = np.bincount(self.docs[take], self.impact[take] * np.repeat(weights, n), self.n)
+        columns = column[long]
+        own = np.zeros(self.postings.shape[1])
+        own[columns] = weights[long]
+        exact = bound
+        if len(columns):
+            bound = exact + (self.most @ own)[self.block]
+        self.met += len(columns) * len(self.most)
         picks, scores = [], []
-        best = np.zeros(0)
-        open_ = bound > 0
-        step = max(2, -(-2 * k // BLOCK))
-        seeds = np.argpartition(-bound, step - 1)[:step] if self.n_blocks > step else np.arange(self.n_blocks)
-        chosen = seeds
-        cursor = 0
-        while len(chosen):
-            pivot = np.zeros(self.n_blocks, bool)
-            pivot[chosen] = True
-            open_[chosen] = False
-            live = np.flatnonzero(pivot[place])
-            now, size = entry[live], self.size[entry[live]]
-            posting = ranges(self.begin[now], size)
-            docs = self.docs[posting]
-            full = np.bincount(docs, self.impact[posting] * np.repeat(weight[live], size), self.n)
-            self.read += len(now)
-            doc = np.flatnonzero(full > 0)
-            doc = doc[full[doc] >= floor - 1e-5]
-            picks.append(doc)
-            scores.append(full[doc])
-            best = np.concatenate([best, full[doc]])
-            if len(best) >= k:
-                best = np.partition(best, -k)[-k:]
-                floor = max(floor, best.min())
-            # The next pivots in document order.
-            ahead = np.flatnonzero(open_[cursor:] & (bound[cursor:] >= floor - 1e-5))[:step] + cursor
-            cursor = int(ahead[-1]) + 1 if len(ahead) else self.n_blocks
-            chosen = ahead
+        seeds = np.argpartition(-bound, 2 * k)[: 2 * k] if self.n > 4 * k else np.flatnonzero(bound >= max(floor - 1e-5, 1e-12))
+        pivots, rest, step = seeds, None, 512
+        while len(pivots):
+            score = exact[pivots] + self.postings[pivots] @ own
+            live = np.zeros(len(self.most), bool)
+            live[self.block[pivots]] = True
+            self.read += len(columns) * int(live.sum())
+            picks.append(pivots)
+            scores.append(score)
+            if sum(map(len, scores)) >= k:
+                floor = max(floor, np.partition(np.concatenate(scores), -k)[-k])
+            if rest is None:
+                ahead = bound >= max(floor - 1e-5, 1e-12)
+                ahead[seeds] = False
+                rest = np.flatnonzero(ahead)
+            else:
+                rest = rest[len(pivots) :]
+                rest = rest[bound[rest] >= floor - 1e-5]
+            pivots = rest[:step]
             step *= 4
-        pick, score = np.concatenate(picks), np.concatenate(scores)
+        pick, score = (np.concatenate(x) for x in (picks, scores)) if picks else (seeds, np.zeros(0))
         ok = score >= max(floor - 1e-5, 1e-12)
         return pick[ok], score[ok]
 
