@@ -23,8 +23,12 @@ LOCAL_CHARS, LABEL_CHARS = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 # How phone numbers begin, what may stand after a digit, and how many digits follow.
 PHONE_STARTS, PHONE_GAPS, PHONE_LEAST, PHONE_DIGITS = "+33 0", "().-", 8, 10
 
-_line_end = "[" + BLANKS.replace("\n", "") + "]+(?=\n|\\z)"
-_gap = f"[{EDGES}]+"
+# The same as classes of patterns; those of ASCII alone are much faster to search for.
+_ascii = r"\t\x0b\x0c\r"
+_wide = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_line_end = f"[ {_ascii}{_wide}]+(?=\\n|\\z)"
+_gap, _wide_gap = rf"[ \n{_ascii}\x1c-\x1f]+", rf"[ \n{_ascii}\x1c-\x1f{_wide}]+"
+_uneven, _wide_uneven = rf"  |[\n{_ascii}\x1c-\x1f]", rf"  |[\n{_ascii}\x1c-\x1f{_wide}]"
 
 
 def _folds() -> tuple[str, str]:
@@ -44,6 +48,10 @@ def column(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def is_ascii(x) -> Column:
+    return F.octet_length(column(x)) == F.char_length(column(x))
+
+
 def strip(x) -> Column:
     return F.btrim(column(x), F.lit(EDGES))
 
@@ -55,7 +63,8 @@ def normalized_content(x) -> Column:
     """
     text = composed(x)
     text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
-    text = F.when(text.rlike(f"[{BLANKS.replace(chr(10), '')}]\n"), F.regexp_replace(text, _line_end, "")).otherwise(text)
+    ragged = text.rlike(rf"[ {_ascii}]\n") | (~is_ascii(text) & text.rlike(rf"[{_wide}]\n"))
+    text = F.when(ragged, F.regexp_replace(text, _line_end, "")).otherwise(text)
     return strip(F.when(F.contains(text, F.lit("\n\n\n")), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text))
 
 
@@ -105,11 +114,13 @@ def terms(x) -> Column:
 
 def token_count(x) -> Column:
     """White-space separated tokens."""
-    return F.size(F.filter(F.split(column(x), _gap), lambda t: t != ""))
+    parts = F.when(is_ascii(x), F.split(column(x), _gap)).otherwise(F.split(column(x), _wide_gap))
+    return F.size(F.filter(parts, lambda t: t != ""))
 
 
 def collapsed(x) -> Column:
-    return F.lower(strip(F.regexp_replace(column(x), _gap, " ")))
+    uneven = F.when(is_ascii(x), column(x).rlike(_uneven)).otherwise(column(x).rlike(_wide_uneven))
+    return F.lower(strip(F.when(uneven, F.regexp_replace(column(x), _wide_gap, " ")).otherwise(column(x))))
 
 
 def nfc(x) -> Column:
@@ -124,7 +135,7 @@ def nfc(x) -> Column:
 def composed(x) -> Column:
     """``nfc`` of texts that may need it; those with nothing above U+02FF are composed already and go to no Python worker."""
     text = column(x)
-    return F.coalesce(nfc(F.when(text.rlike("[^\\u0000-\\u02ff]"), text)), text)
+    return F.coalesce(nfc(F.when(~is_ascii(text) & text.rlike("[^\\u0000-\\u02ff]"), text)), text)
 
 
 def folded_any(x) -> Column:
