@@ -99,11 +99,11 @@ class Net:
 def segments(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(segments, bytes) padded with spaces, and the row of each; none crosses texts."""
     n = -(-np.diff(offsets) // size)
-    row = np.repeat(np.arange(len(n)), n)
-    first = offsets[:-1][row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * size
-    at = first[:, None] + np.arange(size)
-    inside = at < offsets[1:][row][:, None]
-    return np.where(inside, data[np.minimum(at, max(0, len(data) - 1))] if len(data) else 32, 32).astype(np.uint8), row
+    edge = (np.append(0, np.cumsum(n)) * size).tolist()
+    out = np.full(edge[-1], 32, np.uint8)
+    for at, a, b in zip(edge, offsets[:-1].tolist(), offsets[1:].tolist()):
+        out[at : at + b - a] = data[a:b]
+    return out.reshape(-1, size), np.repeat(np.arange(len(n)), n)
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
