@@ -3,10 +3,10 @@
 1. Document frequencies of the benchmark's words over all passages of all documents
    (windows of ``WINDOW`` words) give the IDF; words in more than half of the
    passages weigh nothing.
-2. A randomised SVD of the TF-IDF matrix of passages (a bounded, hashed sample
-   of ``SAMPLE`` documents, and the benchmark itself) over the benchmark's
-   words: tasks multiply their passages with a random test matrix and send the
-   product back, the driver takes the Nystrom eigendecomposition of the sum.
+2. A randomised SVD of the TF-IDF matrix of passages (of all documents, and the
+   benchmark itself) over the benchmark's words: in the same reading, tasks multiply
+   their passages with a random test matrix, tasks add up the products by parts, and
+   the driver takes the Nystrom eigendecomposition of the sum.
 3. Every passage of every document, at a stride of ``BLOCK`` words, is projected;
    items within cosine ``NEAR`` are candidates.
 4. A candidate leaks when the longest common subsequence of words covers
@@ -36,7 +36,8 @@ from gleaner.llm.common import fresh, hash_spans, materialize, slices, word_span
 BLOCK, BLOCKS = 16, 3
 WINDOW = BLOCK * BLOCKS
 RANK, EXTRA = 128, 16
-SAMPLE = 20_000
+#: Tasks that add up the parts of the range matrix.
+PARTS = 16
 ITEMS = 1024
 NEAR = 0.4
 SURE, LIKELY, ANSWER = 0.7, 0.5, 0.75
@@ -120,61 +121,48 @@ def blocks_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words[:-1][row] + (np.arange(len(row)) - edge[row]) * BLOCK, row, edge
 
 
-def frequencies(batches, items: Items):
-    """(word, passages with it), and the number of passages as word -1."""
-    df, total = np.zeros(len(items.vocab), np.int64), 0
-    for batch in batches:
-        for _, _, data, offsets in slices(batch.column("text")):
-            hashes, words = tokens(data, offsets)
-            first, row, edge = blocks_of(words)
-            if not len(first):
-                continue
-            group = edge[row] * len(first) + (np.arange(len(row)) - edge[row]) // BLOCKS  # passages beside each other
-            group = np.cumsum(np.append(0, group[1:] != group[:-1]))
-            total += int(group[-1]) + 1
-            at, number = items.of(hashes)
-            passage = group[np.searchsorted(first, at, "right") - 1]
-            pairs = np.unique(passage * len(items.vocab) + number)
-            df += np.bincount(pairs % len(items.vocab), minlength=len(items.vocab))
-    some = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["word", "n"])
-
-
 def test_matrix(n: int) -> np.ndarray:
     return np.random.default_rng(17).normal(size=(n, RANK + EXTRA)).astype(np.float32)
 
 
-def range_of(batches, items: Items):
-    """The task's part of (passages^T passages) times the test matrix."""
+def measured(batches, items: Items):
+    """The task's share, in one reading, of (passages^T passages) times the test matrix, cut into ``PARTS``, and of the passages with each word, with the number of passages as the last one (part -1)."""
     omega = test_matrix(len(items.vocab))
     out = np.zeros(omega.shape, np.float64)
+    df = np.zeros(len(items.vocab) + 1)
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column("text"), 1 << 18):
+        for _, _, data, offsets in slices(batch.column("text"), 1 << 16):
             hashes, words = tokens(data, offsets)
             first, row, edge = blocks_of(words)
+            if not len(first):
+                continue
+            place = (np.arange(len(row)) - edge[row]) // BLOCKS  # passages beside each other
+            group = np.cumsum(runs(row, place)) - 1
+            df[-1] += int(group[-1]) + 1
             at, number = items.of(hashes)
             if not len(at):
                 continue
-            block = np.searchsorted(first, at, "right") - 1
-            passage = edge[row[block]] + (block - edge[row[block]]) // BLOCKS
-            new = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-            z = np.add.reduceat(omega[number], new, axis=0)
-            z = np.repeat(z, np.diff(np.append(new, len(passage))), axis=0)
+            passage = group[np.searchsorted(first, at, "right") - 1]
+            pairs = np.unique(passage * len(items.vocab) + number)
+            df[:-1] += np.bincount(pairs % len(items.vocab), minlength=len(items.vocab))
+            new = runs(passage)
+            z = np.add.reduceat(omega[number], np.flatnonzero(new), axis=0)
             order = np.argsort(number, kind="stable")
-            begin = np.flatnonzero(np.append(True, number[order][1:] != number[order][:-1]))
-            out[number[order][begin]] += np.add.reduceat(z[order], begin, axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["y"])
+            begin = np.flatnonzero(runs(number[order]))
+            out[number[order[begin]]] += np.add.reduceat(z[(np.cumsum(new) - 1)[order]], begin, axis=0)
+    if df[-1]:
+        shares = [df, *np.array_split(out.astype(np.float32), PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, PARTS), pa.int32()), pa.array([x.astype(np.float64 if k == 0 else np.float32).tobytes() for k, x in enumerate(shares)], pa.binary())], names=["part", "y"])
 
 
 def added(batches):
-    """The sum of matrices of 32 bit numbers, as one of 64 bit."""
-    total = None
+    """The sums of the tasks' shares by part, as numbers of 64 bit."""
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for x in batch.column("y"):
-            part = np.frombuffer(x.as_buffer(), np.float32)
-            total = part.astype(np.float64) if total is None else total + part
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["y"])
+        for k, x in zip(batch.column("part").to_pylist(), batch.column("y")):
+            share = np.frombuffer(x.as_buffer(), np.float64 if k < 0 else np.float32)
+            total[k] = total[k] + share if k in total else share.astype(np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "y"])
 
 
 @dataclass
@@ -185,22 +173,18 @@ class Latent:
     queries: np.ndarray  # items x RANK, of length 1
 
 
-def fit(docs: DataFrame, items: Items, sample: int = SAMPLE) -> Latent:
+def fit(docs: DataFrame, items: Items) -> Latent:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = {r.word: r.n for r in texts.mapInArrow(lambda it: frequencies(it, items), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    total = counts.pop(-1, 0)
-    df = np.zeros(len(items.vocab))
-    df[list(counts)] = list(counts.values())
+    omega = test_matrix(len(items.vocab))
+    # The tasks' shares are added up one by one, each part in a task of its own; one matrix comes to the driver.
+    shares = texts.mapInArrow(lambda it: measured(it, items), "part int, y binary").repartition(PARTS, "part").mapInArrow(added, "part int, y binary").collect()
+    parts = {r.part: np.frombuffer(r.y, np.float64) for r in shares}
+    df = parts.pop(-1, np.zeros(len(items.vocab) + 1)).copy()
+    y = np.concatenate([parts[k] for k in range(PARTS)]).reshape(omega.shape) if parts else np.zeros(omega.shape)
     own = items.counts()
-    df += (own > 0).sum(0)
-    total += len(items.ids)
+    df[:-1] += (own > 0).sum(0)
+    df, total = df[:-1], df[-1] + len(items.ids)
     idf = np.maximum(0, np.log((total - df + 0.5) / (df + 0.5)))
-    share = min(1.0, sample / max(1, docs.count()))
-    chosen = texts.where(F.pmod(F.xxhash64("text", F.lit("svd")), F.lit(1_000_000)) < share * 1_000_000).repartition(16)
-    omega = test_matrix(len(items.vocab))
-    # The tasks' parts are added up one by one in a task of its own; a single matrix comes to the driver.
-    parts = chosen.mapInArrow(lambda it: range_of(it, items), "y binary").repartition(1).mapInArrow(added, "y binary").collect()
-    y = np.frombuffer(parts[0].y, np.float64).reshape(omega.shape) if parts else np.zeros(omega.shape)
     # The test matrix stands for D^-1 times another one, so IDF may be applied afterwards.
     live = np.flatnonzero(idf > 0)
     weighted = own[:, live] * idf[live]
