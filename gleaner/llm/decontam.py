@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.common import fresh, hash_spans, materialize, slices, word_spans
+from gleaner.llm.common import fresh, hash_spans, lean, materialize, slices, word_spans
 
 BLOCK, BLOCKS = 16, 3
 WINDOW = BLOCK * BLOCKS
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, items: Items) -> Latent:
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     omega = test_matrix(len(items.vocab))
     # The tasks' shares are added up one by one, each part in a task of its own; one matrix comes to the driver.
-    shares = texts.mapInArrow(lambda it: measured(it, items), "part int, y binary").repartition(PARTS, "part").mapInArrow(added, "part int, y binary").collect()
+    shares = texts.mapInArrow(lean(lambda it: measured(it, items)), "part int, y binary").repartition(PARTS, "part").mapInArrow(lean(added), "part int, y binary").collect()
     parts = {r.part: np.frombuffer(r.y, np.float64) for r in shares}
     df = parts.pop(-1, np.zeros(len(items.vocab) + 1)).copy()
     y = np.concatenate([parts[k] for k in range(PARTS)]).reshape(omega.shape) if parts else np.zeros(omega.shape)
@@ -335,7 +335,7 @@ def row_leaks(docs: DataFrame, benchmark: DataFrame, near: float = NEAR) -> Data
         if not items.ids:
             return out
         latent = fit(docs, items)
-        return docs.mapInArrow(lambda it: search(it, latent, near), out.schema)
+        return docs.mapInArrow(lean(lambda it: search(it, latent, near)), out.schema)
 
     for r in rows:
         block.append((r.item_id, r.text))

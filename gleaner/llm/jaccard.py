@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm.common import LOWER, fresh, hash_spans, materialize, mix, powers, slices, word_spans
+from gleaner.llm.common import LOWER, fresh, hash_spans, lean, materialize, mix, powers, slices, word_spans
 
 SHINGLE = 5
 SIMILAR, OF = 80, 100
@@ -283,9 +283,9 @@ def one_set(text: str) -> np.ndarray:
 
 
 def meet(docs: DataFrame, fineness: float, crowd: int, name: str) -> DataFrame:
-    keys = docs.select("text").mapInArrow(lambda it: keys_of(it, fineness), "key long, fp long, tag long")
+    keys = docs.select("text").mapInArrow(lean(lambda it: keys_of(it, fineness)), "key long, fp long, tag long")
     least = Least(math.isinf(fineness))
-    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: meetings(it, crowd, least), MET), name)
+    return materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(lambda it: meetings(it, crowd, least)), MET), name)
 
 
 def plausible(met: DataFrame, crowds: DataFrame) -> DataFrame:
@@ -427,7 +427,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, crowd: int = CROWD) -> Dat
 def row_components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, row (hash of id and text), n_shingles, component_id and kept (the row of the group's first document) of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    rows = materialize(docs.mapInArrow(scan, "doc_id long, row long, fp long, n_shingles long"), "sets")
+    rows = materialize(docs.mapInArrow(lean(scan), "doc_id long, row long, fp long, n_shingles long"), "sets")
     # A group's first document is the first that has an id.
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
     classes = rows.where("fp != 0").groupBy("fp").agg(first.alias("first"), F.min("row").alias("row"))

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.common import SPACE, hash_spans, remainder, slices, word_spans
+from gleaner.llm.common import SPACE, hash_spans, lean, remainder, slices, word_spans
 from gleaner.llm.gbt import Isotonic, Trees, cross_margins, fit_isotonic, fit_trees
 from gleaner.llm.style import SECOND_PERSON, labelled, row_sum, style
 
@@ -219,4 +219,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
                 ok[lo:hi] = model.score(data, offsets) < threshold
             yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(lean(keep), schema)

@@ -3,8 +3,10 @@
 import re
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
-from gleaner.llm import queries
+from gleaner.llm import common, decontam, queries
 from gleaner.llm.common import materialize, table
 
 SF = "/root/testdata/sf0.001"
@@ -44,5 +46,37 @@ def test_packing_holds_every_document(stages):
     assert {r.doc_id for r in stages[5].select("doc_id").distinct().collect()} == {r.doc_id for r in stages[4].collect()}
 
 
+def own_mb() -> float:
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+
+def test_workers_keep_no_freed_memory():
+    pinned = []
+
+    def work(batches):
+        for batch in batches:
+            parts = [np.ones(100_000, np.uint8) for _ in range(2000)]  # too small for mappings of their own
+            pinned.append(parts.pop())  # what lies above the freed ones
+            del parts
+            yield batch
+
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    before = own_mb()
+    assert [b.num_rows for b in common.lean(work)(iter([batch]))] == [1]
+    assert own_mb() - before < 50  # of 200
+
+
+def test_decontamination_gives_memory_back(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    tasks, plain = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a, **b: tasks.append(f) or plain(self, f, *a, **b))
+    decontam.row_leaks(table(spark, SF, "documents"), table(spark, SF, "benchmark"))
+    for task in tasks:
+        list(task(iter([])))
+    assert len(tasks) == len(given) == 3
+
+
 def test_ten_operators_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
