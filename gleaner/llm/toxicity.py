@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.common import SPACE, hash_spans, lean, remainder, slices, word_spans
+from gleaner.llm.common import SPACE, hash_spans, lean, relieve, remainder, slices, word_spans
 from gleaner.llm.gbt import Isotonic, Trees, cross_margins, fit_isotonic, fit_trees
 from gleaner.llm.style import SECOND_PERSON, labelled, row_sum, style
 
@@ -209,7 +209,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that the model does not reject."""
+    # The driver learns: without what earlier plans have freed, and what learning frees does not stay for the stages to come.
+    relieve(docs.sparkSession)
     model = train(docs, labels, most)
+    relieve(docs.sparkSession)
     schema = docs.schema
 
     def keep(batches):

@@ -1,12 +1,13 @@
 """The pipeline on the smallest tables: what each stage must keep and drop."""
 
 import re
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from gleaner.llm import common, decontam, queries
+from gleaner.llm import common, decontam, queries, toxicity
 from gleaner.llm.common import materialize, table
 
 SF = "/root/testdata/sf0.001"
@@ -78,5 +79,30 @@ def test_decontamination_gives_memory_back(spark, monkeypatch):
     assert len(tasks) == len(given) == 3
 
 
+def test_driver_keeps_no_freed_memory(spark):
+    jvm = spark._jvm
+    smaps = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+
+    def jvm_mb() -> float:
+        return int(re.search(r"\nPss_Anon:\s+(\d+)", smaps.read_text())[1]) / 1024
+
+    materialize(spark.range(10), "first")
+    used = [jvm.java.util.zip.Deflater() for _ in range(1000)]  # the JVM's memory outside its heap
+    full = jvm_mb()
+    for x in used[:-1]:  # the last stays, above the freed ones
+        x.end()
+    materialize(spark.range(10), "second")
+    assert full - jvm_mb() > 60  # of about 120
+    used[-1].end()
+
+
+def test_toxicity_stage_gives_the_drivers_memory_back(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(toxicity, "train", lambda *a, train=toxicity.train: done.append("train") or train(*a))
+    monkeypatch.setattr(toxicity, "relieve", lambda spark: done.append("relieve"))
+    toxicity.keep_clean(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    assert done == ["relieve", "train", "relieve"]
+
+
 def test_ten_operators_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
